@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from speechframe.llm import bpe
+from speechframe.llm import bpe, token_counts
 from speechframe.llm.common import table
 
 
@@ -10,5 +10,9 @@ def op2_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe}
+def op9_token_counts(spark, sf_dir):
+    return token_counts.over_limit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op9_token_counts": op9_token_counts}
 ORACLES: dict[str, str] = {}
