@@ -1,16 +1,18 @@
 """Byte-level BPE as a lazily determinised transducer, and an incremental UTF-8 decoder.
 
 A BPE encoding is valid exactly if every pair of neighbouring tokens is the encoding of its own
-concatenation. Reading left to right, that makes a non-deterministic transducer: a configuration is
-(last token before the open one, tokens not yet emitted, bytes of the open token). Subsets of
-configurations are determinised on demand; what all configurations of a subset agree on is emitted,
-so a token leaves the transducer after at most as many further bytes as the longest token has.
+concatenation. Reading left to right, that makes a non-deterministic transducer whose configurations
+are (last token, place in the token trie of the open one). Subsets of configurations are determinised
+on demand. An arc's output is the token that ends with its byte: exactly one does, as each prefix of a
+piece has one encoding. Which of these tokens belong to the piece shows as soon as all open tokens go
+back to the same boundary, so a token is emitted after a lookahead bounded by the longest tokens.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
+from struct import pack
 
 import numpy as np
 import public_tokenizers
@@ -22,10 +24,14 @@ from pyspark.sql import types as T
 
 from speechframe.llm.common import extended, without
 
-#: States and memoised pieces that a worker holds before it starts afresh; the results do not depend on them.
-MAX_STATES = 150_000
-MAX_PIECES = 300_000
+#: States that a worker holds before it starts afresh, pieces in each of its two generations of memoised pieces, and
+#: rows it turns into Python objects at a time; the results do not depend on them.
+MAX_STATES = 60_000
+MAX_PIECES = 250_000
 MEMO_CHARS = 48
+SLICE_ROWS = 256
+#: Bytes of a long piece after which the settled tokens are emitted.
+SETTLE_BYTES = 1024
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,25 +45,37 @@ class BpeTransducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
-        self.prefixes = {token[:n] for token in ranks for n in range(1, len(token))}
-        self.reachable: dict[int, bool] = {}
+        # the tokens as a trie: child node by (node, byte), then each node's token and whether longer ones go on
+        self.child: dict[int, int] = {}
+        self.rank_at, self.longer, self.depth = [-1], [True], [0]
+        for token, rank in ranks.items():
+            node = 0
+            for depth, byte in enumerate(token, 1):
+                self.longer[node] = True
+                to = self.child.get(node << 8 | byte)
+                if to is None:
+                    to = self.child[node << 8 | byte] = len(self.rank_at)
+                    self.rank_at.append(-1)
+                    self.longer.append(False)
+                    self.depth.append(depth)
+                node = to
+            self.rank_at[node] = rank
+        self.size = {rank: len(token) for rank, token in self.token.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.reset()
 
     def reset(self) -> None:
+        # a state: the configuration that stands between two tokens, then those inside one
         self.configs: list[tuple] = []
-        self.delta: list[dict] = []
-        self.final: list[tuple] = []
         self.ids: dict[tuple, int] = {}
-        self.start = self._state(((-1, (), b""),))
+        self.arcs: dict[int, tuple[int, int]] = {}
+        self._state(((-1, 0),))
 
     def _state(self, configs: tuple) -> int:
         at = self.ids.get(configs)
         if at is None:
             at = self.ids[configs] = len(self.configs)
             self.configs.append(configs)
-            self.delta.append({})
-            self.final.append(next((waiting for _, waiting, part in configs if not part), None))
         return at
 
     def _merged(self, data: bytes) -> list[int]:
@@ -75,31 +93,47 @@ class BpeTransducer:
     def _follows(self, left: int, right: int) -> bool:
         """Whether right may stand after left (-1: at the start)."""
         if left < 0:
-            if right not in self.reachable:
-                self.reachable[right] = self._merged(self.token[right]) == [right]
-            return self.reachable[right]
-        ok = self.pairs.get((left, right))
-        if ok is None:
-            ok = self.pairs[left, right] = self._follows(-1, right) and self._merged(self.token[left] + self.token[right]) == [left, right]
+            ok = self._merged(self.token[right]) == [right]
+        else:
+            ok = self._merged(self.token[left] + self.token[right]) == [left, right]
+        self.pairs[left, right] = ok
         return ok
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple]:
-        configs, char = [], bytes((byte,))
-        for last, waiting, part in self.configs[state]:
-            part += char
-            if part in self.prefixes:
-                configs.append((last, waiting, part))
-            rank = self.ranks.get(part)
-            if rank is not None and self._follows(last, rank):
-                configs.append((rank, (*waiting, rank), b""))
-        shared = 0
-        first, *others = [waiting for _, waiting, _ in configs]
-        while shared < len(first) and all(len(w) > shared and w[shared] == first[shared] for w in others):
-            shared += 1
-        target = self._state(tuple((last, waiting[shared:], part) for last, waiting, part in configs))
-        arc = self.delta[state][byte] = (target, first[:shared])
+    def _step(self, state: int, byte: int) -> tuple[int, int]:
+        child, rank_at, longer, pairs = self.child, self.rank_at, self.longer, self.pairs
+        inside, ended = [], -1
+        for last, node in self.configs[state]:
+            node = child.get(node << 8 | byte)
+            if node is None:
+                continue
+            if longer[node]:
+                inside.append((last, node))
+            rank = rank_at[node]
+            if rank >= 0 and ended < 0:  # at most one token can end here
+                ok = pairs.get((last, rank))
+                if self._follows(last, rank) if ok is None else ok:
+                    ended = rank
+        arc = self.arcs[state << 8 | byte] = (self._state(((ended, 0), *inside)), ended)
         return arc
 
+    def _traced(self, ends: list[int], at: int) -> list[int]:
+        """The tokens that lead to a boundary, last first."""
+        out, size = [], self.size
+        while at > 0:
+            token = ends[at - 1]
+            out.append(token)
+            at -= size[token]
+        return out
+
+    def _settled(self, ends: list[int], state: int) -> list[int]:
+        """The tokens that all open ones have before them, first first."""
+        starts = [len(ends) - self.depth[node] for _, node in self.configs[state]]
+        chains = [self._traced(ends, start)[::-1] for start in starts]
+        n = 0
+        while all(len(c) > n and c[n] == chains[0][n] for c in chains):
+            n += 1
+        return chains[0][:n]
+
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
@@ -109,13 +143,17 @@ class BpeTransducer:
             if len(self.pairs) > 8 * MAX_STATES:
                 self.pairs.clear()
         out: list[int] = []
-        state, delta = self.start, self.delta
+        ends: list[int] = []
+        state, arcs = 0, self.arcs
         for byte in piece:
-            arc = delta[state].get(byte) or self._step(state, byte)
+            arc = arcs.get(state << 8 | byte) or self._step(state, byte)
             state = arc[0]
-            if arc[1]:
-                out += arc[1]
-        out += self.final[state]
+            ends.append(arc[1])
+            if len(ends) >= SETTLE_BYTES:
+                settled = self._settled(ends, state)
+                out += settled
+                del ends[: sum(self.size[t] for t in settled)]
+        out += self._traced(ends, len(ends))[::-1]
         return out
 
 
@@ -126,26 +164,23 @@ class BpeEncoder:
         self.transducer = BpeTransducer(ranks)
         self.split = regex.compile(pattern).findall
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        return np.array(self.transducer.encode(piece.encode()), dtype="<u4").tobytes()
+        ids = self.transducer.encode(piece.encode())
+        return pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers; null counts as empty."""
         if not text:
             return b""
-        pieces, memo = self.split(text), self.memo
-        if len(memo) > MAX_PIECES:
-            memo.clear()
-        try:
-            return b"".join([memo[p] for p in pieces])
-        except KeyError:
-            pass
-        out = []
-        for piece in pieces:
+        if len(self.memo) > MAX_PIECES:
+            self.memo, self.older = {}, self.memo
+        memo, older, out = self.memo, self.older, []
+        for piece in self.split(text):
             packed = memo.get(piece)
             if packed is None:
-                packed = self._piece(piece)
+                packed = older.get(piece) or self._piece(piece)
                 if len(piece) <= MEMO_CHARS:
                     memo[piece] = packed
             out.append(packed)
@@ -263,29 +298,51 @@ def _decoder(path: str) -> BpeDecoder:
     return _decoders[path]
 
 
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def _appended(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
 
 
-def encode(df: DataFrame, text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+def _encoded(packed: list[bytes]) -> dict[str, pa.Array]:
+    return {"token_ids": pa.array(packed, pa.binary()), "n_tokens": pa.array([len(p) // 4 for p in packed], pa.int64())}
+
+
+def _decoded(packed: list[bytes | None], path: str) -> dict[str, pa.Array]:
+    decoder = _decoder(path)
+    out = [decoder.decode(p or b"") for p in packed]
+    return {"decoded": pa.array([data for data, _ in out], pa.binary()), "decoded_whole": pa.array([whole for _, whole in out], pa.bool_())}
+
+
+ENCODED = [("token_ids", T.BinaryType()), ("n_tokens", T.LongType())]
+DECODED = [("decoded", T.BinaryType()), ("decoded_whole", T.BooleanType())]
+
+
+def encode(df: DataFrame, text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None, check: bool = False) -> DataFrame:
     """Adds token_ids (binary: little-endian unsigned 32-bit ids) and n_tokens (long) to every row.
 
-    A map over rows: no shuffle, any text length, memory bounded by a batch. Null texts count as
-    empty (no ids); repeated rows are each encoded; an empty table stays empty; input columns named
-    token_ids or n_tokens are replaced. ranks_path must be readable on every executor.
+    With check, decodes the ids at once and adds the columns of decode(). A map over rows: no
+    shuffle, any text length, memory bounded by a batch. Null texts count as empty (no ids); repeated
+    rows are each encoded; an empty table stays empty; input columns with the names of added ones are
+    replaced. ranks_path must be readable on every executor.
     """
     path = ranks_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     pattern = pattern or public_tokenizers.PATTERN
-    df = without(df, ["token_ids", "n_tokens"])
+    fields = [*ENCODED, *(DECODED if check else [])]
+    df = without(df, [name for name, _ in fields])
     at = df.columns.index(text_col)
 
     def run(batches):
         encoder = _encoder(path, pattern)
-        for batch in batches:
+        for batch in _slices(batches):
             packed = [encoder.encode(text) for text in batch.column(at).to_pylist()]
-            yield _appended(batch, {"token_ids": pa.array(packed, pa.binary()), "n_tokens": pa.array([len(p) // 4 for p in packed], pa.int64())})
+            yield _appended(batch, _encoded(packed) | (_decoded(packed, path) if check else {}))
 
-    return df.mapInArrow(run, extended(df, [("token_ids", T.BinaryType()), ("n_tokens", T.LongType())]))
+    return df.mapInArrow(run, extended(df, fields))
 
 
 def decode(df: DataFrame, ids_col: str = "token_ids", ranks_path: str | None = None) -> DataFrame:
@@ -295,21 +352,19 @@ def decode(df: DataFrame, ids_col: str = "token_ids", ranks_path: str | None = N
     are replaced; an id outside the vocabulary fails the task.
     """
     path = ranks_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    df = without(df, ["decoded", "decoded_whole"])
+    df = without(df, [name for name, _ in DECODED])
     at = df.columns.index(ids_col)
 
     def run(batches):
-        decoder = _decoder(path)
-        for batch in batches:
-            out = [decoder.decode(packed or b"") for packed in batch.column(at).to_pylist()]
-            yield _appended(batch, {"decoded": pa.array([b for b, _ in out], pa.binary()), "decoded_whole": pa.array([w for _, w in out], pa.bool_())})
+        for batch in _slices(batches):
+            yield _appended(batch, _decoded(batch.column(at).to_pylist(), path))
 
-    return df.mapInArrow(run, extended(df, [("decoded", T.BinaryType()), ("decoded_whole", T.BooleanType())]))
+    return df.mapInArrow(run, extended(df, DECODED))
 
 
 def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Per row: id, n_tokens, digests of the packed ids and of the decoded bytes, and whether those are the text's."""
-    coded = decode(encode(df.select(id_col, text_col), text_col, ranks_path, pattern), "token_ids", ranks_path)
+    coded = encode(df.select(id_col, text_col), text_col, ranks_path, pattern, check=True)
     return coded.select(
         id_col,
         "n_tokens",
