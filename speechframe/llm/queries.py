@@ -2,17 +2,65 @@
 
 from __future__ import annotations
 
-from speechframe.llm import bpe, token_counts
+from speechframe.llm import bpe, decontaminate, licenses, token_counts
 from speechframe.llm.common import table
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _values(texts: dict[str, str]) -> str:
+    """Rows (list of words, label) of a DuckDB VALUES list; phrases are keyed by text, templates by label."""
+    pairs = [(v, k) if " " in v else (k, v) for k, v in texts.items()]
+    return ", ".join(f"(string_split('{text}', ' '), '{label}')" for text, label in pairs)
+
 
 def op2_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark, sf_dir):
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_counts(spark, sf_dir):
     return token_counts.over_limit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op9_token_counts": op9_token_counts}
-ORACLES: dict[str, str] = {}
+def op10_license_scan(spark, sf_dir):
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op6_decontaminate": op6_decontaminate, "op9_token_counts": op9_token_counts, "op10_license_scan": op10_license_scan}
+
+ORACLES = {
+    "op6_decontaminate": f"""
+WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, list_slice(w, i, i + least(10, len(w)) - 1) AS win
+        FROM iw, unnest(range(1, len(w) - least(10, len(w)) + 2)) t(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT len(win) AS n FROM win),
+dwin AS (SELECT doc_id, i, n, list_slice(w, i, i + n - 1) AS win FROM dw, sizes, unnest(range(1, len(w) - n + 2)) t(i)),
+hit AS (SELECT doc_id, i, n, item_id FROM dwin JOIN win USING (win)),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(i, i + n)) t(p) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op10_license_scan": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+phrase(words, label) AS (VALUES {_values(licenses.PHRASES)}),
+template(words, label) AS (VALUES {_values(licenses.TEMPLATES)}),
+place AS (SELECT doc_id, i - 1 AS p, label FROM d, unnest(range(1, len(w) + 1)) t(i), phrase WHERE list_slice(w, i, i + len(words) - 1) = words),
+line AS (SELECT doc_id, {_WORDS} AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents)),
+block AS (SELECT doc_id, w FROM line WHERE len(w) <= 48
+          UNION ALL SELECT doc_id, list_slice(w, i, i + 47) FROM line, unnest(range(1, len(w) - 23, 24)) t(i) WHERE len(w) > 48),
+hit AS (SELECT doc_id, label, len(list_intersect(w, words)) / len(list_distinct(words)) AS score FROM block, template
+        WHERE len(list_intersect(w, words)) >= ceil(0.9 * len(list_distinct(words)) - 1e-9)),
+base AS (SELECT doc_id, count(*) AS n, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM place GROUP BY doc_id),
+every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM place UNION ALL SELECT doc_id, label FROM hit) GROUP BY doc_id),
+best AS (SELECT doc_id, max(score) AS score FROM hit GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base.labels, '') AS base_labels, coalesce(every.labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN best USING (doc_id)""",
+}
