@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from speechframe.llm import bpe, decontaminate, licenses, token_counts
+from speechframe.llm import bpe, decontaminate, licenses, pseudonyms, token_counts
 from speechframe.llm.common import table
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -18,6 +18,10 @@ def op2_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_pseudonyms(spark, sf_dir):
+    return pseudonyms.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -30,7 +34,13 @@ def op10_license_scan(spark, sf_dir):
     return licenses.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op6_decontaminate": op6_decontaminate, "op9_token_counts": op9_token_counts, "op10_license_scan": op10_license_scan}
+QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe,
+    "op4_pseudonyms": op4_pseudonyms,
+    "op6_decontaminate": op6_decontaminate,
+    "op9_token_counts": op9_token_counts,
+    "op10_license_scan": op10_license_scan,
+}
 
 ORACLES = {
     "op6_decontaminate": f"""

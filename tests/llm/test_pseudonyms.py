@@ -1,0 +1,136 @@
+import datetime
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from speechframe.llm import pseudonyms
+
+KEY = "speechframe"
+
+
+def prf(kind, turn, size, value):
+    return int(hashlib.sha256(f"{KEY}:{kind}:{turn}:{size}:{value}".encode()).hexdigest()[:15], 16)
+
+
+def feistel(kind, left, right, a, b):
+    for i in range(pseudonyms.ROUNDS):
+        if i % 2 == 0:
+            left = (left + prf(kind, i, a, right)) % a
+        else:
+            right = (right + prf(kind, i, b, left)) % b
+    return left, right
+
+
+def permuted(kind, text, radix):
+    alphabet, step, out = "0123456789abcdefghijklmnopqrstuvwxyz", 18 if radix == 10 else 16, ""
+    for at in range(0, len(text), step):
+        part = text[at : at + step]
+        h = len(part) // 2
+        sides = feistel(kind, int(part[:h] or "0", radix), int(part[h:], radix), radix**h, radix ** (len(part) - h))
+        for value, size in zip(sides, (h, len(part) - h), strict=True):
+            digits = ""
+            for _ in range(size):
+                digits, value = alphabet[value % radix] + digits, value // radix
+            out += digits
+    return out
+
+
+def luhn(digits):
+    return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def fill(shape, held, symbols):
+    symbols = iter(symbols)
+    return "".join(next(symbols) if re.match(f"[{held}]", c) else c for c in shape)
+
+
+def moved(day):
+    span, base = pseudonyms.DATE_A * pseudonyms.DATE_B, datetime.date(1600, 1, 1)
+    off = (day - base).days
+    left, right = feistel("date", off % span // pseudonyms.DATE_B, off % span % pseudonyms.DATE_B, pseudonyms.DATE_A, pseudonyms.DATE_B)
+    return base + datetime.timedelta(off - off % span + left * pseudonyms.DATE_B + right)
+
+
+def brute(hit):
+    digits = re.sub("[^0-9]", "", hit)
+    if "@" in hit:
+        local, domain = hit.lower().split("@")
+        host, top = domain.rsplit(".", 1)
+        shifted = lambda s: fill(s, "0-9a-z", permuted("email", re.sub("[^0-9a-z]", "", s), 36))
+        return shifted(local) + "@" + shifted(host) + "." + top
+    if re.fullmatch("[0-9a-fA-F]{32,}", hit):
+        out = permuted("secret", hit.lower(), 16)
+        return out.upper() if re.search("[A-F]", hit) else out
+    if re.fullmatch(r"\d+(\.\d+){3}", hit):
+        a, b, c, d = map(int, hit.split("."))
+        left, right = feistel("ip", a * 256 + b, c * 256 + d, 65536, 65536)
+        return f"{left // 256}.{left % 256}.{right // 256}.{right % 256}"
+    for shape in ("%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y"):
+        try:
+            day = datetime.datetime.strptime(hit, shape).date()
+        except ValueError:
+            continue
+        return moved(day).strftime(shape)
+    if re.fullmatch(r"[-./0-9]{10}", hit):
+        return hit
+    if hit.startswith("+"):
+        code = len(re.match(r"\+(\d{1,3})[ .\-(]", hit)[1])
+        return fill(hit, "0-9", digits[:code] + permuted("phone", digits[code:], 10))
+    if 13 <= len(digits) <= 19 and luhn(digits):
+        body = permuted("card", digits[:-1], 10)
+        return fill(hit, "0-9", next(body + c for c in "0123456789" if luhn(body + c)))
+    return hit
+
+
+CASES = [
+    "hein.19@mail5.example.com", "A.b+c@Example.CO", "11acdfb36bb72224148e6160f674b4be45601bff", "0123456789ABCDEF0123456789ABCDEF", "193.195.198.107", "1.2.3.4", "2024-02-29", "1999-12-31", "29.02.2024", "12/31/1999",
+    "31/12/1999", "2023-02-29", "+1 (743) 555-3824", "+49 30 1234 5678", "4539578763621486", "4539 5787 6362 1486", "4539-5787-6362-1486", "4539578763621487", "378282246310005",
+]
+
+
+def out_of(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    return [(r.text, r.private_kinds) for r in pseudonyms.pseudonymise(df).orderBy("doc_id").collect()]
+
+
+@pytest.mark.parametrize("around", ["{}", "see {}, and {}!", "é{} {}é\n{}", "x {}### {}%%%"])
+def test_equals_brute_force(spark, around):
+    for case, (got, kinds) in zip(CASES, out_of(spark, [around.replace("{}", c) for c in CASES]), strict=True):
+        assert got == around.replace("{}", brute(case)), case
+        assert bool(kinds) == (brute(case) != case), case
+
+
+def test_formats_hold_and_values_stay_linked(spark):
+    cards = [f"45395787{i:07d}" for i in range(400)]
+    cards = [c + next(d for d in "0123456789" if luhn(c + d)) for c in cards]
+    got = [t for t, _ in out_of(spark, cards + cards[:50])]
+    assert len(set(got)) == 400 and got[400:] == got[:50]
+    assert all(len(c) == 16 and luhn(c) for c in got)
+
+
+def test_dates_are_permuted(spark):
+    days = spark.range(0, pseudonyms.DATE_A * pseudonyms.DATE_B).select(F.expr("date_add(date'1600-01-01', cast(id as int))").alias("d"))
+    moved_days = days.select(pseudonyms._moved_day(KEY, F.col("d")).alias("m"))
+    row = moved_days.agg(F.countDistinct("m"), F.min("m"), F.max("m")).first()
+    assert tuple(row) == (pseudonyms.DATE_A * pseudonyms.DATE_B, datetime.date(1600, 1, 1), datetime.date(1999, 12, 31))
+
+
+def test_numbers_of_social_security_stay_valid(spark):
+    got = [t for t, _ in out_of(spark, ["219-09-9999", "666-12-1234", "000-12-1234", "219-00-1234", "899-99-9999"])]
+    assert got[1:4] == ["666-12-1234", "000-12-1234", "219-00-1234"]
+    for t in (got[0], got[4]):
+        area, group, serial = map(int, t.split("-"))
+        assert 1 <= area <= 899 and area != 666 and group and serial and re.fullmatch(r"\d{3}-\d{2}-\d{4}", t)
+
+
+def test_odd_rows(spark):
+    long = "a" * 300_000 + "9" * 50_000 + " 10.0.0.1 " + "b.c" * 50_000
+    got = out_of(spark, [None, "", "plain words, version 2.0 of 1999", long, "1.2.3.4.5 300.1.1.1 12345"])
+    assert got[0] == (None, []) and got[1] == ("", []) and got[2] == ("plain words, version 2.0 of 1999", [])
+    assert got[3] == (long.replace("10.0.0.1", brute("10.0.0.1")), ["ip"])
+    assert got[4] == ("1.2.3.4.5 300.1.1.1 12345", [])
+    df = spark.createDataFrame([(1, "1.2.3.4", "q")], "doc_id long, text string, private_kinds string")
+    assert pseudonyms.pseudonymise(df).columns == ["doc_id", "text", "private_kinds"]
+    assert pseudonyms.digest(df.limit(0)).count() == 0
