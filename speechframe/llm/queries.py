@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from speechframe.llm import bpe, decontaminate, licenses, pseudonyms, token_counts
+from speechframe.llm import bpe, decontaminate, licenses, near_duplicates, pseudonyms, token_counts
 from speechframe.llm.common import table
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -26,6 +26,10 @@ def op6_decontaminate(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_jaccard_join(spark, sf_dir):
+    return near_duplicates.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark, sf_dir):
     return token_counts.over_limit(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_pseudonyms": op4_pseudonyms,
     "op6_decontaminate": op6_decontaminate,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_token_counts": op9_token_counts,
     "op10_license_scan": op10_license_scan,
 }
