@@ -23,6 +23,8 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9\-])",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])",
+    "access key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "password": r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api_?key)[=:][A-Za-z0-9+/_\-]{6,64}",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9]|[./\-][0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
@@ -147,9 +149,13 @@ def pseudonym(hit: Column, key: str) -> Column:
     shifted = lambda s: F.when(F.length(symbols(s)) > 0, _filled(s, "0-9a-z", _permuted(key, "email", symbols(s), 36))).otherwise(s)
     email = F.concat(shifted(local), F.lit("@"), shifted(host), F.regexp_extract(domain, r"(\.[^.]*)$", 1))
     hexed = _permuted(key, "secret", F.lower(hit), 16)
+    sign = F.regexp_extract(hit, r"^(.*?[=:])", 1)
+    word = F.regexp_replace(hit, r"^.*?[=:]", "")
     options = {
         "email": (hit.contains("@"), email),
         "secret": (hit.rlike("^[0-9A-Fa-f]{32,}$"), F.when(hit.rlike("[A-F]"), F.upper(hexed)).otherwise(hexed)),
+        "access key": (hit.rlike("^AKIA[0-9A-Z]{16}$"), F.concat(F.lit("AKIA"), F.upper(_permuted(key, "access key", F.lower(F.substring(hit, 5, 16)), 36)))),
+        "password": (hit.rlike("^[A-Za-z_]+[=:]"), F.concat(sign, _once(word, lambda w: F.when(w.rlike("[0-9A-Za-z]"), _filled(w, "0-9A-Za-z", _permuted(key, "password", symbols(F.lower(w)), 36))).otherwise(w)))),
         "ip": (hit.rlike(r"^[0-9]+(\.[0-9]+){3}$"), _ip(key, hit)),
         "date": (hit.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})$"), _date(key, hit)),
         "ssn": (hit.rlike(r"^\d{3}-\d{2}-\d{4}$"), _filled(hit, "0-9", _ssn(key, digits))),
@@ -166,7 +172,8 @@ def pseudonymise(df: DataFrame, text_col: str = "text", key: str = "speechframe"
     """df with the private values of text_col replaced, and private_kinds (array<string>: the kind of each replaced value,
     in order of place) added.
 
-    Replaced are e-mail addresses, hexadecimal secrets, IPv4 addresses, phone numbers, and, if they are
+    Replaced are e-mail addresses, hexadecimal secrets, access keys, passwords in assignments (letters
+    become lower case, so values that differ in case alone are merged), IPv4 addresses, phone numbers, and, if they are
     valid, dates, social security numbers and card numbers (Luhn). What fails validation stays as it is.
     A map over rows: no shuffle, whole texts. Null texts stay null, with no kinds; repeated rows are
     each replaced alike; an empty table stays empty; an input column named private_kinds is replaced.

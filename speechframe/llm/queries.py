@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from speechframe.llm import bpe, decontaminate, licenses, near_duplicates, pseudonyms, token_counts
+from speechframe.llm import bpe, decontaminate, licenses, near_duplicates, pseudonyms, quality, token_counts
 from speechframe.llm.common import table
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -18,6 +18,10 @@ def op2_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark, sf_dir):
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_pseudonyms(spark, sf_dir):
     return pseudonyms.digest(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10_license_scan(spark, sf_dir):
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_quality": op3_quality,
     "op4_pseudonyms": op4_pseudonyms,
     "op6_decontaminate": op6_decontaminate,
     "op8_jaccard_join": op8_jaccard_join,
