@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from speechframe.llm import bpe, decontaminate, licenses, near_duplicates, pseudonyms, quality, token_counts
+from speechframe.llm import bpe, decontaminate, exact_substrings, licenses, near_duplicates, pseudonyms, quality, token_counts
 from speechframe.llm.common import table
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -26,6 +26,10 @@ def op4_pseudonyms(spark, sf_dir):
     return pseudonyms.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_exact_substrings(spark, sf_dir):
+    return exact_substrings.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_quality": op3_quality,
     "op4_pseudonyms": op4_pseudonyms,
+    "op5_exact_substrings": op5_exact_substrings,
     "op6_decontaminate": op6_decontaminate,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_token_counts": op9_token_counts,
