@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from speechframe.llm import bpe, decontaminate, exact_substrings, licenses, near_duplicates, pseudonyms, quality, token_counts
+from speechframe.llm import bpe, decontaminate, exact_substrings, licenses, near_duplicates, pseudonyms, quality, token_counts, top_k
 from speechframe.llm.common import table
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -14,6 +14,10 @@ def _values(texts: dict[str, str]) -> str:
     return ", ".join(f"(string_split('{text}', ' '), '{label}')" for text, label in pairs)
 
 
+def op1_top_k(spark, sf_dir):
+    return top_k.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op2_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_license_scan(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_top_k": op1_top_k,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_quality": op3_quality,
     "op4_pseudonyms": op4_pseudonyms,
@@ -58,6 +63,13 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+           FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
     "op6_decontaminate": f"""
 WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
