@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from speechframe.llm import bpe, decontaminate, exact_substrings, licenses, near_duplicates, pseudonyms, quality, token_counts, top_k
+from speechframe.llm import bpe, decontaminate, exact_substrings, fuzzy_passages, licenses, near_duplicates, pseudonyms, quality, token_counts, top_k
 from speechframe.llm.common import table
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -38,6 +38,10 @@ def op6_decontaminate(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_fuzzy_passages(spark, sf_dir):
+    return fuzzy_passages.passages(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark, sf_dir):
     return near_duplicates.digest(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op4_pseudonyms": op4_pseudonyms,
     "op5_exact_substrings": op5_exact_substrings,
     "op6_decontaminate": op6_decontaminate,
+    "op7_fuzzy_passages": op7_fuzzy_passages,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_token_counts": op9_token_counts,
     "op10_license_scan": op10_license_scan,
