@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Word characters of the word-based operators, after A-Z are lower-cased: digits, a-z and everything beyond ASCII.
@@ -50,3 +51,20 @@ def drop_written(df: DataFrame) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
     if path is not None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows to drop up to which their keys are broadcast (some 40 bytes a row); beyond, both sides are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def row_key() -> Column:
+    """Tells rows apart that share a doc_id; rows equal in id and text stay together."""
+    return F.xxhash64("text")
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without the rows that dropped lists by doc_id and row (row_key()); all columns stay."""
+    dropped = dropped.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("__id")) & (row_key() == F.col("__row")), "left_anti")

@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechframe.llm.common import drop_written, written
-from speechframe.llm.words import WordBitmap, row_key, words
+from speechframe.llm.common import drop_written, row_key, without_rows, written
+from speechframe.llm.words import WordBitmap, words
 
 #: Rows of the window table up to which it is broadcast (some 300 bytes a row); beyond, both sides are shuffled.
 BROADCAST_ROWS = 100_000
@@ -102,5 +102,4 @@ def digest(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
 
 def clean_documents(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """docs without the rows in which a window of an item occurs; all their columns stay."""
-    bad = contamination(docs, items, size).where("n_hit > 0").select("doc_id", "row").distinct()
-    return docs.withColumn("__row", row_key()).join(bad.select(F.col("doc_id").alias("__id"), F.col("row").alias("__bad")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__bad")), "left_anti").drop("__row")
+    return without_rows(docs, written(contamination(docs, items, size).where("n_hit > 0").select("doc_id", "row"), "contaminated"))

@@ -9,26 +9,18 @@ reads equal windows off the adjacent common prefixes, and returns the least doc_
 
 from __future__ import annotations
 
-import math
-import uuid
-
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechframe.llm.common import written
+from speechframe.llm.blocks import COLUMNS, Keys, TextBlock, bucketed_blocks, found_in, record, rows_of, shared_keys, squeezed, unsqueezed
 from speechframe.llm.shingles import _ranges, mixed
 from speechframe.llm.suffix_array import common_prefixes, sorted_starts
 
-#: Bytes of text in a block, and that are hashed at a time; a longer text is a block of its own.
-BLOCK_BYTES, SEGMENT_BYTES = 2 << 20, 1 << 19
-#: Bytes of all texts for each task that owns keys, and for each bucket of blocks.
-KEY_TASK_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20
+#: Bytes of text that are hashed at a time.
+SEGMENT_BYTES = 1 << 16
 GRAM = 20
-KEY_BITS = np.uint64((1 << 39) - 1)
 
 
 def _least_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -52,20 +44,18 @@ def _least_hashes(data: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(least[: len(least) - (span - width)], least[span - width :])
 
 
-class Block:
+class RunBlock(TextBlock):
     """The texts of a block, and the runs of windows with one key in them."""
 
-    def __init__(self, packed: bytes, sizes: np.ndarray, ids: np.ndarray, known: np.ndarray, size: int):
-        self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.uint8) if packed else np.zeros(0, np.uint8)
-        self.sizes, self.ids, self.size = sizes, ids, size
-        self.end = np.cumsum(sizes)
-        self.begin = self.end - sizes
+    def __init__(self, row: dict, tasks: int, size: int):
+        super().__init__(row)
+        self.tasks, self.size = tasks, size
+        self.data = np.frombuffer(self.raw, dtype=np.uint8)
         # texts without a doc_id neither repeat nor are repeated
-        windows = np.where(known, np.maximum(sizes - size + 1, 0), 0)
+        windows = np.where(self.known, np.maximum(self.sizes - size + 1, 0), 0)
         starts, keys, runs, texts = [], [], [], []
         for a in range(0, max(len(self.data) - size + 1, 0), SEGMENT_BYTES):
-            piece = self.data[a : a + SEGMENT_BYTES + size - 1]
-            key = _least_hashes(piece, size)
+            key = _least_hashes(self.data[a : a + SEGMENT_BYTES + size - 1], size)
             text = np.searchsorted(self.end, np.arange(a, a + len(key)), side="right")
             valid = np.arange(a, a + len(key)) - self.begin[text] < windows[text]
             new = np.ones(len(key), dtype=bool)
@@ -78,31 +68,16 @@ class Block:
             keys.append(key[at[keep]])
             texts.append(text[at[keep]])
         whole = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        self.starts, self.runs, self.keys, self.texts = whole(starts, np.int64), whole(runs, np.int64), whole(keys, np.uint64), whole(texts, np.int64)
-
-    def distinct_keys(self, tasks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct keys ordered by the task that owns them, their tasks, and whether texts of two ids share them."""
-        order = np.lexsort((self.keys, self.keys % np.uint64(tasks)))
-        keys, ids = self.keys[order], self.ids[self.texts[order]]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        shared = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first) if len(keys) else np.zeros(0, bool)
-        return keys[first], (keys[first] % np.uint64(tasks)).astype(np.int64), shared
+        self.starts, self.runs, self.run_keys, self.run_texts = whole(starts, np.int64), whole(runs, np.int64), whole(keys, np.uint64), whole(texts, np.int64)
+        self.keys = Keys(self.run_keys, self.ids[self.run_texts], tasks)
 
-    def strings(self, tasks: int, flags: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    def strings(self, flags: list[dict] | None) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
         """The runs whose keys are flagged, each one's string, the distinct strings (by task), their tasks and least ids."""
-        keys, task, _ = self.distinct_keys(tasks)
-        marked = np.zeros(len(keys), dtype=bool)
-        edges = np.searchsorted(task, np.arange(tasks + 1))
-        for k, bits in flags.items():
-            a, b = edges[k], edges[k + 1]
-            marked[a:b] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=b - a)
-        wanted = np.sort(keys[marked])
-        place = np.minimum(np.searchsorted(wanted, self.keys), max(len(wanted) - 1, 0))
-        runs = np.flatnonzero(wanted[place] == self.keys) if len(wanted) else np.zeros(0, np.int64)
-        raw, number, strings, least, owner = self.data.tobytes(), {}, [], [], []
+        runs, _ = found_in(self.run_keys, self.keys.flagged(flags))
+        raw, number, strings, least, owner = self.raw, {}, [], [], []
         which = np.zeros(len(runs), dtype=np.int64)
-        own = (self.keys[runs] % np.uint64(tasks)).tolist()
-        ids = self.ids[self.texts[runs]].tolist()
+        own = (self.run_keys[runs] % np.uint64(self.tasks)).tolist()
+        ids = self.ids[self.run_texts[runs]].tolist()
         ends = (self.starts[runs] + self.runs[runs] + self.size - 1).tolist()
         for i, (a, b, doc, k) in enumerate(zip(self.starts[runs].tolist(), ends, ids, own, strict=True)):
             string = raw[a:b]
@@ -122,103 +97,44 @@ class Block:
         return runs, rank[which], [strings[i] for i in by], owner[by], np.array(least, dtype=np.int64)[by]
 
 
-def _blocks(docs: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """A bucketed table of compressed blocks, so that joins on the block never move the texts again, and the bytes of all texts."""
-    spark = docs.sparkSession
-
-    def pack(batches):
-        part, count = TaskContext.get().partitionId(), 0
-        squeeze = zstandard.ZstdCompressor(level=3).compress
-        held, ids, weight = [], [], 0
-
-        def block():
-            nonlocal held, ids, weight, count
-            row = [[part << 32 | count], [squeeze(b"".join(held))], [np.array([len(t) for t in held], np.int64).tobytes()], [np.array([i or 0 for i in ids], np.int64).tobytes()], [np.array([i is not None for i in ids], bool).tobytes()], [weight]]
-            held, ids, weight, count = [], [], 0, count + 1
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], names=["block", "texts", "sizes", "ids", "known", "n_bytes"])
-
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                text = text or b""
-                if held and weight + len(text) > BLOCK_BYTES:
-                    yield block()
-                held.append(text)
-                ids.append(doc)
-                weight += len(text)
-        if held:
-            yield block()
-
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, "block long, texts binary, sizes binary, ids binary, known binary, n_bytes long")
-    name = f"speechframe_blocks_{uuid.uuid4().hex}"
-    rows.write.option("compression", "uncompressed").bucketBy(max(8, math.ceil(total / BUCKET_BYTES)), "block").saveAsTable(name)
-    return spark.table(name).drop("n_bytes"), total
-
-
-def _block_of(row: dict, size: int) -> Block:
-    return Block(row["texts"], np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["ids"], np.int64), np.frombuffer(row["known"], bool), size)
-
-
-def _rows(batches, names):
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield {n: batch.column(batch.schema.get_field_index(n))[i].as_py() for n in names}
-
+def window_least(strings: list[bytes], ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The strings' first bytes and lengths in their concatenation, and for each window start there the least id of all
+    strings that hold its bytes.
 
-BLOCK_COLUMNS = ["block", "texts", "sizes", "ids", "known"]
-
-
-def _flags(blocks: DataFrame, tasks: int, size: int) -> DataFrame:
-    """block, flags (array of task, bits): which of a block's distinct keys another document has as well."""
-
-    def send(batches):
-        for row in _rows(batches, BLOCK_COLUMNS):
-            keys, task, shared = _block_of(row, size).distinct_keys(tasks)
-            code = (keys // np.uint64(tasks) & KEY_BITS) << np.uint64(1) | shared.astype(np.uint64)
-            short = np.ascontiguousarray(code.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
-            edges = np.searchsorted(task, np.arange(tasks + 1))
-            held = np.flatnonzero(np.diff(edges))
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array([row["block"]] * len(held), pa.int64()), pa.array([short[edges[k] : edges[k + 1]].tobytes() for k in held], pa.binary())], names=["task", "block", "keys"])
-
-    def meet(group: pa.Table) -> pa.Table:
-        blobs = group.column("keys").to_pylist()
-        sizes = np.array([len(b) // 5 for b in blobs])
-        code = np.zeros((int(sizes.sum()), 8), dtype=np.uint8)
-        code[:, :5] = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, 5)
-        code = code.view("<u8").ravel()
-        key, flag = code >> np.uint64(1), (code & np.uint64(1)).astype(bool)
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        flag[order[1:][same]] = True
-        flag[order[:-1][same]] = True
-        edges = np.concatenate([[0], np.cumsum(sizes)])
-        return pa.table({"task": group.column("task"), "block": group.column("block"), "bits": pa.array([np.packbits(flag[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())})
-
-    sent = blocks.mapInArrow(send, "task long, block long, keys binary")
-    met = sent.groupBy("task").applyInArrow(meet, "task long, block long, bits binary")
-    return written(met, "flags").groupBy("block").agg(F.collect_list(F.struct("task", "bits")).alias("flags"))
+    A string whose key no other one has holds no window of another, so its windows have its own id.
+    The suffixes of the others are sorted, and windows are equal where neighbours have size bytes in common.
+    """
+    data = np.frombuffer(b"".join(strings), dtype=np.uint8)
+    length = np.array([len(s) for s in strings], dtype=np.int64)
+    first = np.cumsum(length) - length
+    key = np.concatenate([_least_hashes(data[a : a + SEGMENT_BYTES + size - 1], size) for a in range(0, len(data) - size + 1, SEGMENT_BYTES)])[first]
+    _, number, times = np.unique(key, return_inverse=True, return_counts=True)
+    several = times[number] > 1
+    out = np.repeat(ids, length)
+    order = sorted_starts(data, first[several], length[several], size)
+    if len(order):
+        equal = common_prefixes(data, order, size) >= size
+        starts = np.flatnonzero(np.concatenate([[True], ~equal]))
+        out[order] = np.repeat(np.minimum.reduceat(out[order], starts), np.diff(np.append(starts, len(order))))
+    return first, length, out
 
 
 def _least_ids(flagged: DataFrame, tasks: int, size: int) -> DataFrame:
     """block, least (array of task, ids): for each window of a block's distinct flagged strings the least doc_id that has it."""
 
     def send(batches):
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for row in _rows(batches, [*BLOCK_COLUMNS, "flags"]):
-            _, _, strings, owner, least = _block_of(row, size).strings(tasks, {f["task"]: f["bits"] for f in row["flags"] or ()})
+        for row in rows_of(batches, [*COLUMNS, "flags"]):
+            _, _, strings, owner, least = RunBlock(row, tasks, size).strings(row["flags"])
             edges = np.searchsorted(owner, np.arange(tasks + 1))
             for k in np.flatnonzero(np.diff(edges)).tolist():
                 own = strings[edges[k] : edges[k + 1]]
-                values = [[k], [row["block"]], [squeeze(b"".join(own))], [np.array([len(s) for s in own], np.int32).tobytes()], [least[edges[k] : edges[k + 1]].tobytes()]]
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=["task", "block", "strings", "lengths", "least"])
+                values = [k, row["block"], squeezed(b"".join(own)), np.array([len(s) for s in own], np.int32).tobytes(), least[edges[k] : edges[k + 1]].tobytes()]
+                yield record(values, [pa.int64(), pa.int64(), *[pa.binary()] * 3], ["task", "block", "strings", "lengths", "least"])
 
     def sort(group: pa.Table) -> pa.Table:
-        open_, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
         number, strings, least, uses = {}, [], [], []
         for packed, lengths, ids in zip(*(group.column(c).to_pylist() for c in ("strings", "lengths", "least")), strict=True):
-            raw, at, use = open_(packed), 0, []
+            raw, at, use = unsqueezed(packed), 0, []
             for n, doc in zip(np.frombuffer(lengths, np.int32).tolist(), np.frombuffer(ids, np.int64).tolist(), strict=True):
                 string = raw[at : at + n]
                 at += n
@@ -231,19 +147,9 @@ def _least_ids(flagged: DataFrame, tasks: int, size: int) -> DataFrame:
                     least[known] = doc
                 use.append(known)
             uses.append(np.array(use, dtype=np.int64))
-        data = np.frombuffer(b"".join(strings), dtype=np.uint8)
-        length = np.array([len(s) for s in strings], dtype=np.int64)
-        del number, strings
-        first = np.cumsum(length) - length
-        order = sorted_starts(data, first, length, size)
-        equal = common_prefixes(data, order, size) >= size
-        starts = np.flatnonzero(np.concatenate([[True], ~equal]))
-        owner = np.searchsorted(first, order, side="right") - 1
-        ids = np.array(least, dtype=np.int64)[owner]
-        lowest = np.repeat(np.minimum.reduceat(ids, starts), np.diff(np.append(starts, len(order))))
-        by_start = np.zeros(len(data), dtype=np.int64)
-        by_start[order] = lowest
-        out = [squeeze(by_start[_ranges(first[u], length[u] - size + 1)].tobytes()) for u in uses]
+        del number
+        first, length, lowest = window_least(strings, np.array(least, dtype=np.int64), size)
+        out = [squeezed(lowest[_ranges(first[u], length[u] - size + 1)].tobytes()) for u in uses]
         return pa.table({"task": group.column("task"), "block": group.column("block"), "ids": pa.array(out, pa.binary())})
 
     met = flagged.mapInArrow(send, "task long, block long, strings binary, lengths binary, least binary").groupBy("task").applyInArrow(sort, "task long, block long, ids binary")
@@ -259,34 +165,30 @@ def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
     larger than another, so its text stays and takes nothing away; rows with one doc_id do not affect
     each other; an empty table stays empty; other columns are ignored.
     """
-    blocks, total = _blocks(docs, size)
-    tasks = max(4, math.ceil(total / KEY_TASK_BYTES))
-    flags = _flags(blocks, tasks, size)
-    flagged = blocks.join(flags, "block", "left")
+    blocks, tasks = bucketed_blocks(docs)
+    flagged = blocks.join(shared_keys(blocks, lambda row: RunBlock(row, tasks, size).keys), "block", "left")
     least = _least_ids(flagged, tasks, size)
 
     def cut(batches):
-        open_ = zstandard.ZstdDecompressor().decompress
-        for row in _rows(batches, [*BLOCK_COLUMNS, "flags", "least"]):
-            block = _block_of(row, size)
+        for row in rows_of(batches, [*COLUMNS, "flags", "least"]):
+            block = RunBlock(row, tasks, size)
             gone = np.zeros(len(block.data) + 1, dtype=np.int32)
             if row["flags"] and row["least"]:
-                runs, which, strings, owner, _ = block.strings(tasks, {f["task"]: f["bits"] for f in row["flags"]})
+                runs, which, strings, _, _ = block.strings(row["flags"])
                 windows = np.array([len(s) - size + 1 for s in strings], dtype=np.int64)
-                lowest = np.concatenate([np.frombuffer(open_(x["ids"]), np.int64) for x in sorted(row["least"], key=lambda x: x["task"])])
+                lowest = np.concatenate([np.frombuffer(unsqueezed(x["ids"]), np.int64) for x in sorted(row["least"], key=lambda x: x["task"])])
                 at = np.cumsum(windows) - windows
                 starts = _ranges(block.starts[runs], block.runs[runs])
-                ids = np.repeat(block.ids[block.texts[runs]], block.runs[runs])
+                ids = np.repeat(block.ids[block.run_texts[runs]], block.runs[runs])
                 hit = starts[lowest[_ranges(at[which], block.runs[runs])] < ids]
                 np.add.at(gone, hit, 1)
                 np.add.at(gone, hit + size, -1)
             gone = np.cumsum(gone)[:-1] > 0
-            known = np.frombuffer(row["known"], bool)
-            raw, ids, kept, spans, sizes = block.data.tobytes(), [], [], [], []
+            raw, ids, kept, spans, sizes = block.raw, [], [], [], []
             for i, (a, b) in enumerate(zip(block.begin.tolist(), block.end.tolist(), strict=True)):
                 edge = np.flatnonzero(np.diff(gone[a:b], prepend=False, append=False)).tolist()
                 cuts = list(zip(edge[0::2], edge[1::2], strict=True))
-                ids.append(int(block.ids[i]) if known[i] else None)
+                ids.append(int(block.ids[i]) if block.known[i] else None)
                 sizes.append(b - a)
                 spans.append([{"start": s, "end": e} for s, e in cuts])
                 kept.append(b"".join(raw[a + s : a + e] for s, e in zip([0, *edge[1::2]], [*edge[0::2], b - a], strict=True)))

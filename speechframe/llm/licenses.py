@@ -14,7 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechframe.llm.words import row_key, words
+from speechframe.llm.common import row_key
+from speechframe.llm.words import words
 
 #: Phrases whose places are counted, with their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}

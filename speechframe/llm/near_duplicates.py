@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechframe.llm.common import written
+from speechframe.llm.common import row_key, without_rows, written
 from speechframe.llm.graph import components
 from speechframe.llm.shingles import MinHash, shingle_sets, text_chunks
 
@@ -29,8 +29,8 @@ BANDS, ROWS = 32, 4
 STEP = 16
 #: Classes and shingles of a block; a pair of blocks is compared in one task.
 BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 1 << 20
-#: Rows of candidate document ids up to which they are broadcast (some 30 bytes a row); beyond, both sides are shuffled.
-BROADCAST_ROWS = 500_000
+#: Rows of candidate classes up to which they are broadcast (some 80 bytes a row); beyond, both sides are shuffled.
+BROADCAST_ROWS = 200_000
 #: Columns of the incidence matrices that are multiplied at a time.
 COLUMNS = 4096
 
@@ -52,8 +52,8 @@ def least_matches(threshold: float, tolerance: float, hashes: int, step: int) ->
 
 
 def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
-    """Per document row: doc_id, row (hash of the text), class (digest of its shingle set; null without words), n_shingles, signature."""
-    docs = docs.select("doc_id", "text")
+    """Per document row: doc_id, row (row_key()), class (digest of its shingle set; null without words), n_shingles, signature."""
+    docs = docs.select("doc_id", "text", row_key().alias("row"))
 
     def run(batches):
         minhash = MinHash(BANDS * ROWS)
@@ -69,7 +69,7 @@ def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(first, len(texts)),
-                        pa.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True) for t in texts], pa.int64()),
+                        batch.column(2).slice(first, len(texts)),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.array(signature, pa.binary()),
@@ -92,7 +92,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """wanted (class, doc_id, ...) with each class's shingles, from the text of its first document."""
+    """wanted (class, doc_id, ...) with each class's shingles and signature, from the text of its first document."""
     wanted = wanted.withColumnRenamed("doc_id", "__doc")
     fields = wanted.drop("__doc").schema
     few = wanted.count() <= BROADCAST_ROWS
@@ -100,17 +100,19 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     at = joined.columns.index("class")
 
     def run(batches):
+        minhash = MinHash(BANDS * ROWS)
         for batch in batches:
             for first, texts in text_chunks(batch.column(0)):
                 part = batch.slice(first, len(texts))
                 sets = shingle_sets(texts, size)
                 own = part.column(at).to_pylist()
                 # another row may have the same doc_id and a different text
-                keep = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() == c for s, c in zip(sets, own, strict=True)])
-                out = pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([s.tobytes() for s in sets], pa.binary())], names=[*part.schema.names[1:], "shingles"])
-                yield out.filter(keep)
+                keep = [i for i, (s, c) in enumerate(zip(sets, own, strict=True)) if len(s) and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == c]
+                sets = [sets[i] for i in keep]
+                columns = [*part.take(pa.array(keep, pa.int64())).columns[1:], pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([r.tobytes() for r in minhash.signatures(sets)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[1:], "shingles", "signature"])
 
-    return joined.mapInArrow(run, fields.add("shingles", "binary")).dropDuplicates(["class"])
+    return joined.mapInArrow(run, fields.add("shingles", "binary").add("signature", "binary")).dropDuplicates(["class"])
 
 
 def _surviving(left: np.ndarray, right: np.ndarray, mask: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +208,7 @@ def _compare(threshold: float, tolerance: float):
 
 
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, tolerance: float = 1e-6) -> DataFrame:
-    """Per document row: doc_id, row, class_id (the least doc_id of its group of linked documents) and n_links (the
+    """Per document row: doc_id, row, class_id and class_row (the least of its group of linked documents) and n_links (the
     documents whose shingles have at least the threshold's Jaccard similarity with its own, copies included).
 
     Shingles are runs of size words; a shorter text, unless it has no word, is one shingle. Texts
@@ -218,12 +220,12 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, toleran
     """
     sketch = written(sketches(docs, size), "sketches")
     held = sketch.where("class IS NOT NULL AND doc_id IS NOT NULL")
-    classes = written(held.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
+    classes = written(held.groupBy("class").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")).withColumn("doc_id", F.col("least.doc_id")), "classes")
     candidates = written(_candidates(classes), "candidates")
-    sized = candidates.join(classes.select("class", "doc_id", "copies", "n_shingles", "signature"), "class")
+    sized = candidates.join(classes.select("class", "doc_id", "copies", "n_shingles"), "class")
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK_CLASSES, F.col("shingles_in") / BLOCK_SHINGLES)).cast("int")
     counts = sized.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles_in")).select("root", blocks.alias("blocks"))
-    wanted = written(sized.join(counts, "root").select("class", "doc_id", "root", "copies", "signature", "blocks", F.pmod(F.xxhash64("class"), "blocks").cast("int").alias("block")), "wanted")
+    wanted = written(sized.join(counts, "root").select("class", "doc_id", "root", "copies", "blocks", F.pmod(F.xxhash64("class"), "blocks").cast("int").alias("block")), "wanted")
     members = _sets(docs, wanted, size)
     paired = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "root", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "class", "copies", "signature", "shingles"
@@ -231,14 +233,26 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, toleran
     found = written(paired.groupBy("root", "low", "high").applyInPandas(_compare(threshold, tolerance), "class binary, other binary, links long"), "links")
     groups = components(found.where("other IS NOT NULL").select(F.col("class").alias("u"), F.col("other").alias("v"))).select(F.col("node").alias("class"), "root")
     links = found.where("other IS NULL").groupBy("class").agg(F.sum("links").alias("links"))
-    labelled = classes.select("class", "doc_id", "copies").join(groups, "class", "left").join(links, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    labelled = labelled.select("class", "root", "doc_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    least = labelled.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    named = labelled.join(least, "root").select("class", "class_id", "n_links")
+    labelled = classes.select("class", "least", "copies").join(groups, "class", "left").join(links, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    labelled = labelled.select("class", "root", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    least = labelled.groupBy("root").agg(F.min("least").alias("first"))
+    named = labelled.join(least, "root").select("class", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("class_row"), "n_links")
     return sketch.select("doc_id", "row", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class")).join(named, "class", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "row"
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "row", F.coalesce("class_row", "row").alias("class_row")
     )
 
 
+def representatives(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
+    """One row of docs for each group of jaccard_join(): that with the least doc_id, of rows equal in id and text one; all
+    columns stay. Texts without words and rows without a doc_id are groups of their own, and stay."""
+    joined = written(jaccard_join(docs, threshold, size), "groups")
+    others = joined.where("doc_id IS NOT NULL AND (doc_id <> class_id OR row <> class_row)").select("doc_id", "row")
+    same = written(joined.where("doc_id IS NOT NULL AND doc_id = class_id AND row = class_row").groupBy("doc_id", "row").count().where("count > 1").select("doc_id", "row"), "repeated")
+    if same.isEmpty():
+        return without_rows(docs, others)
+    repeated = docs.withColumn("__row", row_key()).join(same.select(F.col("doc_id").alias("__id"), F.col("row").alias("__same")), (F.col("doc_id") == F.col("__id")) & (F.col("__row") == F.col("__same")), "left_semi")
+    return without_rows(docs, others.union(same)).unionByName(repeated.dropDuplicates(["doc_id", "__row"]).drop("__row"))
+
+
 def digest(docs: DataFrame) -> DataFrame:
     return jaccard_join(docs).select("doc_id", "class_id", "n_links")

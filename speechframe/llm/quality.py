@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechframe.llm.common import written
+from speechframe.llm.common import row_key, without_rows, written
 from speechframe.llm.shingles import text_chunks, words_of
 
 #: Labelled documents that the classifier is fitted on, at most; those with the least hash of their doc_id.
@@ -221,7 +221,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, host: Column | None = Non
     """
     model = fit(docs, labels, sample_rows)
     keyed = docs.select(
-        "doc_id", "text", F.xxhash64("text").alias("row"), F.coalesce((host if host is not None else F.col("source")).cast("string"), F.lit("")).alias("host"), F.coalesce((path if path is not None else F.col("lang")).cast("string"), F.lit("")).alias("path")
+        "doc_id", "text", row_key().alias("row"), F.coalesce((host if host is not None else F.col("source")).cast("string"), F.lit("")).alias("host"), F.coalesce((path if path is not None else F.col("lang")).cast("string"), F.lit("")).alias("path")
     )
 
     def evidence(batches):
@@ -258,5 +258,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, host: Column | None = Non
     return out.select("doc_id", "row", "host", "path", "evidence", "host_rate", "path_rate", "score", (F.col("score") >= threshold).alias("keep"))
 
 
+def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs to keep by quality_scores(); all their columns stay."""
+    return without_rows(docs, written(quality_scores(docs, labels).where(~F.col("keep")).select("doc_id", "row"), "rejected"))
+
+
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return quality_scores(docs, labels).drop("row")

@@ -46,7 +46,3 @@ class WordBitmap:
         held = F.get(F.lit(self.longs).cast("array<bigint>"), F.shiftright(bit, 6).cast("int"))
         return F.call_function("getbit", held, (bit % 64).cast("int")) == 1
 
-
-def row_key() -> Column:
-    """Tells rows apart that share a doc_id; rows equal in id and text stay together and are counted."""
-    return F.xxhash64("doc_id", "text")

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from speechframe.llm import exact_substrings
+from speechframe.llm import blocks, exact_substrings
 from speechframe.llm.suffix_array import common_prefixes, sorted_starts
 
 
@@ -52,9 +52,9 @@ def run(spark, docs):
 
 @pytest.mark.parametrize("alphabet", ["abcdefgh é日", "ab", "a"])
 def test_equals_brute_force(spark, monkeypatch, alphabet):
-    monkeypatch.setattr(exact_substrings, "BLOCK_BYTES", 1500)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 1500)
     monkeypatch.setattr(exact_substrings, "SEGMENT_BYTES", 200)
-    monkeypatch.setattr(exact_substrings, "KEY_TASK_BYTES", 2000)
+    monkeypatch.setattr(blocks, "KEY_TASK_BYTES", 2000)
     docs = corpus(1, alphabet) + [(900, None), (901, ""), (3, "z" * 80), (3, "z" * 80), (902, "z" * 60), (None, "z" * 90), (903, "y" * 3000), (904, "x" + "y" * 200)]
     assert run(spark, docs) == brute(docs)
 
