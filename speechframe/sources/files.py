@@ -47,7 +47,7 @@ def whole_texts(spark: SparkSession, directory: str, pattern: str = "*", recursi
     """path, text of each file of a folder."""
     if not exists(spark, directory):
         return spark.createDataFrame([], "path string, text string")
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).text(directory)
+    files = spark.read.text(directory, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=recursive)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
@@ -69,9 +69,12 @@ def read_transcripts(jobs: DataFrame, files: DataFrame) -> DataFrame:
     return jobs.join(files.select(F.col("path").alias("transcript_path")), "transcript_path", "left_semi")
 
 
-def read_manifests(spark: SparkSession, directory: str) -> DataFrame:
-    """Session manifests in their schema; keys that older files lack are null."""
-    texts = whole_texts(spark, directory, "session.json", recursive=True)
+def read_manifests(spark: SparkSession, inbox: str) -> DataFrame:
+    """Manifests of an inbox's session folders in their schema; keys that older files lack are null. The folders' names start with a dot, which readers skip unless named."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{inbox}/.session-*/session.json")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p):
+        return spark.createDataFrame([], f"path string, {S.MANIFEST}")
+    texts = spark.read.text(f"{inbox}/.session-*/session.json", wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return texts.select("path", F.from_json("text", S.MANIFEST).alias("m")).where("m.stem IS NOT NULL").select("path", "m.*")
 
 
@@ -79,7 +82,7 @@ def read_lines(spark: SparkSession, path: str, file: str = "") -> DataFrame:
     """file, line (from 1), value of a text file, numbered as they stand in it: a file read whole, then divided."""
     if not path or not exists(spark, path):
         return spark.createDataFrame([], "file string, line int, value string")
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.lit(file).alias("file"), F.posexplode(F.split("value", r"\r\n|\r|\n", -1)).alias("pos", "value")).select("file", (F.col("pos") + 1).alias("line"), "value")
 
 
