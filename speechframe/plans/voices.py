@@ -434,3 +434,50 @@ def meeting_pipeline(spark, sf_dir):
     s = V.segments(spark, sf_dir).withColumn("start", F.col("start") / 1000).withColumn("end", F.col("end") / 1000)
     t = V.turns(spark, sf_dir).withColumn("start", F.col("start") / 1000).withColumn("end", F.col("end") / 1000)
     return process(s, t, V.dictionary(spark), lambda: first_sentences, max_tokens=2000, overlap_tokens=200).summaries
+
+
+def _confirmed(spark, sf_dir):
+    """p0 and p1 stand in the registry; every person's first vector waits in the queue of a meeting."""
+    registry = V.samples(spark, sf_dir).where("name < 'p2'").select(F.col("speaker_id").alias("id"), "name", "ord", "embedding", "embedding_model", F.lit("old").alias("source"), F.lit("d").alias("added"))
+    first = V.prints(spark, sf_dir).groupBy("name").agg(F.min_by(F.struct("ord", "embedding", "embedding_model"), "ord").alias("f"))
+    queue = first.select(F.lit("meeting").alias("meeting_dir"), F.col("name").alias("label"), (F.col("f.ord") + 1_000_000).alias("ord"), "f.embedding", "f.embedding_model", F.lit("2026-01-02").alias("added"))
+    by_id = F.col("label") == "p0"
+    decisions = queue.where("label < 'p4'").select("meeting_dir", "label", F.when(~by_id, F.concat(F.lit("name "), "label")).alias("name"), F.when(by_id, "id-p1").alias("speaker_id"))
+    return O.confirm_speaker(registry, queue, decisions)
+
+
+@register(
+    "j08_confirm_speaker",
+    V.sql("prints", """SELECT 'id-' || name AS id, name, least(10, count(*) + CASE WHEN name = 'p1' THEN 1 ELSE 0 END) AS sample_count FROM prints WHERE name < 'p2' GROUP BY name
+UNION ALL SELECT DISTINCT md5('speaker:name ' || name), 'name ' || name, 1 FROM prints WHERE name > 'p0' AND name < 'p4'"""),
+)
+def confirm_speaker(spark, sf_dir):
+    return O.registry_summary(_confirmed(spark, sf_dir))
+
+
+@register("e05_preflight", """SELECT c_custkey AS device, ord, name, status FROM (SELECT c_custkey, abs(c_acctbal) / 100000 AS p, c_nationkey FROM customer) c, LATERAL (
+  SELECT 1 AS ord, 'mic' AS name, CASE WHEN p > 0 AND 20 * log10(p) >= -30 THEN 'ok' WHEN p > 0 AND 20 * log10(p) >= -45 THEN 'warn' ELSE 'fail' END AS status
+  UNION ALL SELECT 2, 'loopback', CASE WHEN p > 0 AND 20 * log10(p / 10) >= -50 THEN 'ok' ELSE 'warn' END UNION ALL SELECT 3, 'samplerate', CASE WHEN c_nationkey < 12 THEN 'ok' ELSE 'fail' END)""")
+def preflight(spark, sf_dir):
+    from speechframe.operators.services import preflight as checks
+
+    c = V.table(spark, sf_dir, "customer")
+    p = F.abs("c_acctbal").cast("double") / 100000
+    return checks(c.select(F.col("c_custkey").alias("device"), p.alias("mic"), (p / 10).alias("loopback")), c.select(F.col("c_custkey").alias("device"), F.lit(48000).alias("mic_rate"), F.when(F.col("c_nationkey") < 12, 48000).otherwise(44100).alias("loopback_rate")))
+
+
+@register("w16_pairs_by_score", V.sql("prints voices truth", "") + ", " + _PAIRS + " SELECT left_file, left_label, right_file, right_label, round(score, 6) AS score FROM pairs")
+def pairs_by_score(spark, sf_dir):
+    from speechframe.operators.services import calibration_report
+
+    report = calibration_report(V.voices(spark, sf_dir), V.truth(spark, sf_dir))
+    return report["pairs"].select("left_file", "left_label", "right_file", "right_label", F.round("score", 6).alias("score"))
+
+
+@register("j11_reusable_transcripts", V.sql("recordings", "SELECT path, CASE WHEN o_totalprice > 100000 THEN 'text ' || r.o_orderkey END AS md FROM recordings r JOIN orders USING (o_orderkey)"))
+def reusable_transcripts(spark, sf_dir):
+    from speechframe.operators.services import reusable_transcripts as reusable
+
+    r = V.recordings(spark, sf_dir).withColumn("key", F.split_part("path", F.lit("/"), F.lit(2)).cast("bigint"))
+    o = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.when(F.col("o_totalprice") > 100000, F.concat(F.lit("text "), F.col("o_orderkey").cast("string"))).otherwise(" \u00a0\n").alias("md"))
+    return reusable(r, r.join(o, "key").select("path", "md")).select("path", "md")

@@ -115,3 +115,29 @@ def test_transcription_plug_points(spark):
     turns = models.diarize(audio, lambda: lambda path: [(0.0, 5.0, "A"), (6.0, 60.0, "B")])
     got = {r.speaker: (r.seconds, r.segment_count) for r in models.extract_voiceprints(turns, audio, lambda: lambda p, a, b: [b - a, 0.0]).collect()}
     assert got == {"A": (5.0, 1), "B": (24.0, 1)}
+
+
+def test_services(spark, tmp_path):
+    from speechframe.operators import services
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "cp"))
+    put(tmp_path / "q" / "m.json", json.dumps({"meeting_dir": "m", "speakers": [{"label": "a", "embedding": [1, 2]}]}))
+    row = services.pending_meetings(files.load_pending(spark, str(tmp_path / "q"))).first()
+    assert row.meeting_dir == "m" and row.speakers[0].label == "a"
+    listing = {"n": 5}
+
+    def current():
+        return spark.createDataFrame([("a.wav", listing["n"], 1.0), ("b.wav", 3, 1.0)], "audio_file string, length long, mtime double")
+
+    def analyse(df):
+        out = df.select("audio_file", F.lit("ok").alias("status"))
+        listing["n"] = 6
+        return out
+
+    services.process_requests(analyse, current, str(tmp_path / "res"))(spark.createDataFrame([("a.wav",), ("b.wav",)], "audio_file string"), 0)
+    assert [r.audio_file for r in spark.read.parquet(str(tmp_path / "res")).collect()] == ["b.wav"]
+    assert [r.audio_file for r in spark.read.parquet(str(tmp_path / "res-changed")).collect()] == ["a.wav"]
+    put(tmp_path / "inbox" / ".session-x" / "session.json", "{}")
+    side = spark.createDataFrame([("x", "m", None, None, None)], "path string, claude_model string, profile string, asr_engine string, transcript_path string")
+    ok = services.finish_session(spark, str(tmp_path / "inbox" / ".session-x"), str(tmp_path / "inbox"), "x", lambda a, b: put(tmp_path / "inbox" / ".session-x" / "x.ogg.part", "sound"), side)
+    assert ok and sorted(os.listdir(tmp_path / "inbox")) == ["x.job.json", "x.ogg"]
