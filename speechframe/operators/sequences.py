@@ -99,6 +99,20 @@ def merge_turns(segments: DataFrame, max_tokens: int = S.MERGE_MAX_TOKENS) -> Da
     return parts.select("meeting_id", "block", F.array_join(F.transform("p", lambda x: x["part"]), " ").alias("raw"))
 
 
+def merge_transcripts(transcripts: DataFrame, max_tokens: int = S.MERGE_MAX_TOKENS) -> DataFrame:
+    """meeting_id, md: transcripts with their runs merged, under what stands before the first header; those in which nothing merges stay as they are."""
+    segments = parse_segments(transcripts)
+    blocks = merge_turns(segments, max_tokens)
+    merged = blocks.groupBy("meeting_id").agg(F.count("*").alias("__out"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "raw"))), lambda x: x["raw"]), "\n\n").alias("__md"))
+    before = segments.groupBy(F.col("meeting_id").cast("string").alias("meeting_id")).agg(F.count("*").alias("__in"))
+    changed = merged.join(before, "meeting_id").where("__out < __in").select(F.col("meeting_id").alias("__id"), "__md")
+    parts = F.filter(F.transform(F.split("md", "\n\n", -1), strip), lambda b: b != "")
+    first = F.array_position(F.transform(parts, lambda b: b.rlike("^" + S.HEADER)), True)
+    head = F.slice(parts, F.lit(1), F.greatest(first - 1, F.lit(0)).cast("int"))
+    d = transcripts.join(changed, F.col("meeting_id").cast("string") == F.col("__id"), "left")
+    return d.select("meeting_id", F.when(F.col("__md").isNull(), F.col("md")).otherwise(F.array_join(F.concat(head, F.array("__md")), "\n\n")).alias("md"))
+
+
 class _Chunks:
     """Open chunk: (seg, tokens) of its rows. A chunk that would overflow closes and leaves its tail for the next."""
 

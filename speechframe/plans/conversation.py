@@ -178,8 +178,7 @@ _TOKENS = "ceil({0} / 1.1::DOUBLE)::BIGINT"
 _MERGE_CAP = S.MERGE_MAX_TOKENS
 
 
-@register(
-    "w02_merge_turns",
+_MERGED_BLOCKS = (
     _PARSED.replace("WITH ", "WITH RECURSIVE ", 1)
     + f""", ordered AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY seg) AS n FROM parsed),
 folded AS (SELECT meeting_id, n, 0 AS block, raw AS acc, CASE WHEN contains(body, chr(10) || chr(10)) THEN NULL ELSE speaker END AS open FROM ordered WHERE n = 1
@@ -187,12 +186,20 @@ folded AS (SELECT meeting_id, n, 0 AS block, raw AS acc, CASE WHEN contains(body
     CASE WHEN f.open = o.speaker AND {_TOKENS.format("length(f.acc)")} + {_TOKENS.format("length(o.body)")} + 1 <= {_MERGE_CAP} THEN rtrim(f.acc || ' ' || o.body) ELSE o.raw END,
     CASE WHEN contains(o.body, chr(10) || chr(10)) THEN NULL ELSE o.speaker END
   FROM folded f JOIN ordered o ON o.meeting_id = f.meeting_id AND o.n = f.n + 1)
-SELECT meeting_id::VARCHAR AS meeting_id, block::BIGINT AS block, arg_max(acc, n) AS raw FROM folded GROUP BY ALL""",
+, merged_blocks AS (SELECT meeting_id::VARCHAR AS meeting_id, block::BIGINT AS block, arg_max(acc, n) AS raw FROM folded GROUP BY ALL)"""
 )
+
+
+@register("w02_merge_turns", _MERGED_BLOCKS + " SELECT meeting_id, block, raw FROM merged_blocks")
 def merge_turns(spark, sf_dir):
     return Q.merge_turns(_parsed(spark, sf_dir), _MERGE_CAP)
 
 
+@register("w02_merge_transcripts", _MERGED_BLOCKS + """, whole AS (SELECT meeting_id, '# Transcript' || chr(10) || chr(10) || string_agg(raw, chr(10) || chr(10) ORDER BY block) AS md FROM merged_blocks GROUP BY meeting_id) SELECT r.meeting_id, CASE WHEN (SELECT count(*) FROM parsed p WHERE p.meeting_id = r.meeting_id) = (SELECT count(*) FROM merged_blocks b WHERE b.meeting_id = r.meeting_id::VARCHAR) THEN r.md ELSE w.md END AS md FROM rendered r JOIN whole w ON w.meeting_id = r.meeting_id::VARCHAR""")
+def merge_transcripts(spark, sf_dir):
+    return Q.merge_transcripts(_rendered(spark, sf_dir))
+
+
 @register(
     "w03_split_into_chunks",
     _PARSED.replace("WITH ", "WITH RECURSIVE ", 1)

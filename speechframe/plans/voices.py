@@ -74,10 +74,10 @@ def _registry(spark, sf_dir):
 @register(
     "a10_add_samples",
     V.sql("prints", """SELECT CASE WHEN name < 'p5' THEN 'id-' || name ELSE md5('speaker:' || name) END AS id, name, ord, embedding_model, source FROM (
-  SELECT *, row_number() OVER (PARTITION BY name ORDER BY source DESC, ord DESC) AS n FROM (SELECT name, ord, embedding_model, 'first' AS source FROM prints WHERE name < 'p5' UNION ALL SELECT name, ord, embedding_model, 'second' FROM prints WHERE embedding_model = 'm1')) WHERE n <= 10"""),
+  SELECT *, row_number() OVER (PARTITION BY name ORDER BY source DESC, ord DESC) AS n FROM (SELECT name, ord, embedding_model, 'first' AS source FROM prints WHERE name < 'p5' UNION ALL SELECT name, ord, embedding_model, 'second' FROM prints WHERE embedding_model = 'm1' AND name <> 'p3')) WHERE n <= 10 OR name = 'p3'"""),
 )
 def add_samples(spark, sf_dir):
-    new = V.prints(spark, sf_dir).where("embedding_model = 'm1'").select(F.concat(F.lit(" *"), "name", F.lit("` ")).alias("name"), "ord", "embedding", "embedding_model", F.lit("second").alias("source"), F.lit("2026-02-01").alias("added"))
+    new = V.prints(spark, sf_dir).where("embedding_model = 'm1' AND name <> 'p3'").select(F.concat(F.lit(" *"), "name", F.lit("` ")).alias("name"), "ord", "embedding", "embedding_model", F.lit("second").alias("source"), F.lit("2026-02-01").alias("added"))
     return O.add_samples(_registry(spark, sf_dir), new).select("id", "name", "ord", "embedding_model", "source")
 
 
