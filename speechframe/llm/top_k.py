@@ -2,8 +2,8 @@
 
 Vectors are packed into shards of bounded size, each with its components sorted by dimension. A query
 walks its shard's lists from their best end (largest values where its own component is positive,
-smallest where it is negative), all to the same depth, and scores every vector it meets. What it has
-not met scores at most the sum over dimensions of its component times the value at that depth; once
+smallest where it is negative), all to the same depth, and scores every vector it meets; a block of
+queries walks together, so that what they meet is scored in one product. What a query has not met scores at most the sum over dimensions of its component times the value at that depth; once
 this bound falls below the k-th best score so far, the shard has nothing more for it. The k-th best is
 carried from shard to shard within a task.
 """
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from speechframe.llm.common import written
 
-#: Vectors of a shard and queries of a block; a pair of them is the unit of work.
-SHARD_ROWS, BLOCK_ROWS = 4096, 512
+#: Vectors of a shard and queries of a block; a pair of them is the unit of work. Queries that are scored at a time.
+SHARD_ROWS, BLOCK_ROWS, QUERY_ROWS = 4096, 2048, 256
 #: Depth of the first step into the lists; each step doubles it.
 FIRST_DEPTH = 16
 
@@ -34,17 +34,19 @@ def scaled_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = 64)
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
-    """A row for each vector, shorter ones padded with zeros."""
+    """A row for each vector, shorter ones padded with zeros, in the smallest integers that hold all values."""
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     sizes = np.diff(vectors.offsets.to_numpy())
-    out = np.zeros((len(vectors), int(sizes.max(initial=0))), dtype=np.int64)
+    most = int(np.abs(flat).max(initial=0))
+    kind = next(k for k in (np.int16, np.int32, np.int64) if most <= np.iinfo(k).max)
+    out = np.zeros((len(vectors), int(sizes.max(initial=0))), dtype=kind)
     row = np.repeat(np.arange(len(vectors)), sizes)
     out[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
     return out
 
 
 def _packed(df: DataFrame, rows: int, lists: bool) -> DataFrame:
-    """Blobs of at most rows vectors: number of the blob's place in the grid, ids, rows' own numbers, matrix, sorted lists."""
+    """Blobs of at most rows vectors: number of the blob's first row, ids, rows' own numbers, matrix and its width, sorted lists."""
 
     def pack(batches):
         for batch in batches:
@@ -54,56 +56,99 @@ def _packed(df: DataFrame, rows: int, lists: bool) -> DataFrame:
                 order = np.argsort(matrix, axis=0, kind="stable").astype(np.uint16) if lists else np.zeros(0, np.uint16)
                 own = part.column(1).to_numpy(zero_copy_only=False)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                values = [int(own[0]) if len(own) else 0, ids.tobytes(), own.tobytes(), matrix.shape[1], matrix.tobytes(), order.tobytes()]
-                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["first", "ids", "own", "dims", "matrix", "lists"])
+                values = [int(own[0]), ids.tobytes(), own.tobytes(), matrix.shape[1], matrix.dtype.itemsize, matrix.tobytes(), order.tobytes()]
+                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["first", "ids", "own", "dims", "width", "matrix", "lists"])
 
-    return df.select("id", "own", "v").mapInArrow(pack, "first long, ids binary, own binary, dims int, matrix binary, lists binary")
+    return df.select("id", "own", "v").mapInArrow(pack, "first long, ids binary, own binary, dims int, width int, matrix binary, lists binary")
+
+
+def _unpacked(matrix: bytes, rows: int, dims: int, width: int) -> np.ndarray:
+    return np.frombuffer(matrix, f"<i{width}").reshape(rows, dims)
+
+
+class Best:
+    """The k best (score, id) of each query of a block so far, in order; NONE where there are fewer."""
+
+    NONE = -(1 << 62)
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.scores, self.ids = np.full((queries, k), self.NONE, dtype=np.int64), np.full((queries, k), (1 << 63) - 1, dtype=np.int64)
+
+    def kth(self, rows: np.ndarray) -> np.ndarray:
+        return self.scores[rows, self.k - 1]
+
+    def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Merges candidates (query row, score, id) in; ties go to the smaller id."""
+        touched = np.unique(rows)
+        if not len(touched):
+            return
+        row = np.concatenate([np.repeat(touched, self.k), rows])
+        score = np.concatenate([self.scores[touched].ravel(), scores])
+        id_ = np.concatenate([self.ids[touched].ravel(), ids])
+        by = np.lexsort((id_, -score, row))
+        row, score, id_ = row[by], score[by], id_[by]
+        first = np.searchsorted(row, touched)
+        take = (first[:, None] + np.arange(self.k)).ravel()
+        self.scores[touched], self.ids[touched] = score[take].reshape(-1, self.k), id_[take].reshape(-1, self.k)
 
 
 class Shard:
     def __init__(self, ids: np.ndarray, own: np.ndarray, matrix: np.ndarray, lists: np.ndarray):
-        self.ids, self.own, self.lists = ids, own, lists
+        self.ids, self.lists = ids, lists
         self.n, self.dims = matrix.shape
-        self.most = int(np.abs(matrix).max(initial=0))
-        self.matrix, self.exact = matrix.astype(np.float64), matrix
+        self.most = int(np.abs(matrix.astype(np.int64)).max(initial=0))
+        self.exact, self.matrix = matrix, matrix.astype(np.float64)
         self.sorted = np.take_along_axis(self.matrix, lists.astype(np.int64), axis=0)
-
-    def search(self, query: np.ndarray, own: int, k: int, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """best (scores descending, ids ascending on ties) merged with what the shard has to add."""
-        dims = min(self.dims, len(query))
-        query = np.concatenate([query[:dims], np.zeros(self.dims - dims, dtype=np.int64)])
-        used = np.flatnonzero(query)
+        self.by_own = np.argsort(own)
+        self.own = own[self.by_own]
+
+    def search(self, queries: np.ndarray, own: np.ndarray, best: Best) -> None:
+        """Merges what the shard has to add for a block of queries into best.
+
+        The lists are read for all queries that are not done, a step at a time and from the ends that any
+        of them asks for; what is met is scored for all of them at once. A query is done when its bound
+        falls below its k-th best: a tie with a smaller id may still be ahead.
+        """
+        q = np.zeros((len(queries), self.dims), dtype=np.int64)
+        dims = min(self.dims, queries.shape[1])
+        q[:, :dims] = queries[:, :dims]
         # products of doubles are exact below 2^53
-        exact = self.most * int(np.abs(query).max(initial=0)) * max(self.dims, 1) >= 1 << 53
-        q, rows = (query, self.exact) if exact else (query.astype(np.float64), self.matrix)
-        down = query[used] > 0
-        seen = np.zeros(self.n, dtype=bool)
-        seen[self.own == own] = True
-        scores, ids = best
-        depth, step = 0, FIRST_DEPTH
-        while depth < self.n:
+        exact = self.most * int(np.abs(q).max(initial=0)) * max(self.dims, 1) >= 1 << 53
+        wide = q.astype(np.float64)
+        place = np.minimum(np.searchsorted(self.own, own), self.n - 1)
+        itself = np.where(self.own[place] == own, self.by_own[place], -1)
+        seen, column = np.zeros(self.n, dtype=bool), np.full(self.n, -1)
+        active, depth, step = np.arange(len(q)), 0, FIRST_DEPTH
+        while depth < self.n and len(active):
             to = min(self.n, depth + step)
-            if len(used):
-                met = np.unique(np.concatenate([self.lists[self.n - to : self.n - depth, used[down]].ravel(), self.lists[depth:to, used[~down]].ravel()]))
-                met = met[~seen[met]]
+            up, down = (q[active] > 0).any(axis=0), (q[active] < 0).any(axis=0)
+            met = np.zeros(self.n, dtype=bool)
+            if up.any() or down.any():
+                met[self.lists[self.n - to : self.n - depth, up].ravel()] = True
+                met[self.lists[depth:to, down].ravel()] = True
             else:  # every score is 0
-                met, to = np.flatnonzero(~seen), self.n
+                met[:], to = True, self.n
+            met = np.flatnonzero(met & ~seen)
             seen[met] = True
-            found = (rows[met] @ q).astype(np.int64)
-            if len(scores) == k:
-                good = found >= scores[-1]
-                met, found = met[good], found[good]
-            scores, ids = np.concatenate([scores, found]), np.concatenate([ids, self.ids[met]])
-            by = np.lexsort((ids, -scores))[:k]
-            scores, ids = scores[by], ids[by]
+            column[:] = -1
+            column[met] = np.arange(len(met))
+            for a in range(0, len(active), QUERY_ROWS) if len(met) else ():
+                rows = active[a : a + QUERY_ROWS]
+                scores = (q[rows] @ self.exact[met].T.astype(np.int64)) if exact else wide[rows] @ self.matrix[met].T
+                mine = np.flatnonzero((itself[rows] >= 0) & (column[itself[rows]] >= 0))
+                scores[mine, column[itself[rows[mine]]]] = Best.NONE
+                least = np.maximum(best.kth(rows), Best.NONE + 1)
+                if len(met) > best.k and (least == Best.NONE + 1).any():
+                    least = np.maximum(least, np.partition(scores, len(met) - best.k, axis=1)[:, len(met) - best.k].astype(np.int64))
+                i, j = np.nonzero(scores >= least[:, None])
+                best.add(rows[i], scores[i, j].astype(np.int64), self.ids[met[j]])
             depth, step = to, step * 2
-            if depth < self.n and len(scores) == k:
-                edge = np.where(down, self.sorted[self.n - depth, used], self.sorted[depth - 1, used])
-                # a tie with a smaller id may still be ahead, so the bound must fall below the k-th score
-                if np.dot(edge, query[used].astype(np.float64)) + (1e-6 * abs(float(scores[-1])) if exact else 0) < scores[-1]:
-                    break
-        return scores, ids
+            if depth < self.n:
+                bound = np.maximum(wide[active], 0) @ self.sorted[self.n - depth - 1] + np.minimum(wide[active], 0) @ self.sorted[depth]
+                kth = best.kth(active)
+                active = active[(kth == Best.NONE) | (bound + (1e-6 * np.abs(kth) if exact else 0) >= kth)]
 
 
 def top_k(df: DataFrame, queries: Callable[[Column], Column], k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
@@ -122,24 +167,22 @@ def top_k(df: DataFrame, queries: Callable[[Column], Column], k: int = 20, id_co
     rows, columns = max(1, math.ceil(n / SHARD_ROWS)), max(1, math.ceil(m / BLOCK_ROWS))
     shards = _packed(keyed.fillna({"id": (1 << 63) - 1}), SHARD_ROWS, True).withColumn("g", F.pmod(F.xxhash64("first"), F.lit(rows)).cast("int")).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
     blocks = _packed(asked.repartition(columns, "own"), BLOCK_ROWS, False).withColumn("h", F.pmod(F.xxhash64("first"), F.lit(columns)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-    named = blocks.select("g", "h", *[F.col(c).alias(f"q_{c}") for c in ("ids", "own", "dims", "matrix")])
-    pairs = shards.select("g", "h", "ids", "own", "dims", "matrix", "lists").join(named, ["g", "h"])
+    named = blocks.select("g", "h", *[F.col(c).alias(f"q_{c}") for c in ("ids", "own", "dims", "width", "matrix")])
+    pairs = shards.select("g", "h", "ids", "own", "dims", "width", "matrix", "lists").join(named, ["g", "h"])
 
     def search(batches):
-        best: dict[tuple[int, int], tuple] = {}
+        best: dict[bytes, tuple] = {}
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
                 ids, own = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["own"], np.int64)
-                shard = Shard(ids, own, np.frombuffer(row["matrix"], np.int64).reshape(len(ids), row["dims"]), np.frombuffer(row["lists"], np.uint16).reshape(len(ids), row["dims"]))
+                shard = Shard(ids, own, _unpacked(row["matrix"], len(ids), row["dims"], row["width"]), np.frombuffer(row["lists"], np.uint16).reshape(len(ids), row["dims"]))
                 q_ids, q_own = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_own"], np.int64)
-                q = np.frombuffer(row["q_matrix"], np.int64).reshape(len(q_ids), row["q_dims"])
-                for a, (query_id, query_own) in enumerate(zip(q_ids.tolist(), q_own.tolist(), strict=True)):
-                    key = (query_id, query_own)
-                    best[key] = shard.search(q[a], query_own, k, best.get(key, (np.zeros(0, np.int64), np.zeros(0, np.int64))))
-        for (query_id, query_own), (scores, ids) in best.items():
-            n = len(scores)
-            yield pa.RecordBatch.from_arrays([pa.array([query_id] * n, pa.int64()), pa.array([query_own] * n, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "own", "vec_id", "score"])
+                known = best.setdefault(row["q_own"], (q_ids, q_own, Best(len(q_ids), k)))
+                shard.search(_unpacked(row["q_matrix"], len(q_ids), row["q_dims"], row["q_width"]), q_own, known[2])
+        for q_ids, q_own, found in best.values():
+            i, j = np.nonzero(found.scores != Best.NONE)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (q_ids[i], q_own[i], found.ids[i, j], found.scores[i, j])], names=["query_id", "own", "vec_id", "score"])
 
     found = pairs.mapInArrow(search, "query_id long, own long, vec_id long, score long")
     ranked = found.selectExpr("*", "row_number() OVER (PARTITION BY query_id, own ORDER BY score DESC, vec_id) AS rank").where(F.col("rank") <= k)

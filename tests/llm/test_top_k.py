@@ -46,5 +46,6 @@ def test_bound_stops_early():
     shard = top_k.Shard(np.arange(4096), np.arange(4096), matrix, order)
     reads = []
     shard.matrix = type("Counted", (), {"__getitem__": lambda _, at: (reads.append(len(at)), matrix[at].astype(float))[1]})()
-    scores, ids = shard.search(np.array([1, 2]), -1, 10, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-    assert sum(reads) < 200 and scores.tolist() == sorted((matrix @ [1, 2]).tolist(), reverse=True)[:10]
+    best = top_k.Best(1, 10)
+    shard.search(np.array([[1, 2]]), np.array([-1]), best)
+    assert sum(reads) < 200 and best.scores[0].tolist() == sorted((matrix @ [1, 2]).tolist(), reverse=True)[:10]
