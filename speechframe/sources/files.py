@@ -87,14 +87,15 @@ def read_lines(spark: SparkSession, path: str, file: str = "") -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """ord, value of the lines of a log that only grows.
+    """ord, value of the lines of a log that only grows; blank lines don't count.
 
-    The order within a file is that of its partitions and of the lines in each, so the number is made
-    of both without moving a row; blank lines don't count.
+    The order is that of the files' ages, of the blocks of a file and of the lines in a block, so ord is
+    a struct of these, made without moving a row.
     """
     if not exists(spark, path):
-        return spark.createDataFrame([], "ord bigint, value string")
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), "value").where(strip(F.col("value")) != "")
+        return spark.createDataFrame([], "ord struct<age:timestamp,path:string,block:bigint,line:bigint>, value string")
+    at = F.struct(F.col("_metadata.file_modification_time").alias("age"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select(at.alias("ord"), "value").where(strip(F.col("value")) != "")
 
 
 def load_registry(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from speechframe.operators import models
+from speechframe.operators import events, models
 from speechframe.sources import files, sinks
 from speechframe.streaming import streams
 
@@ -50,10 +50,15 @@ def test_sinks(spark, tmp_path):
     sinks.append_events(spark.createDataFrame([("a", None)], "job string, code string"), log)
     sinks.append_events(spark.createDataFrame([("b", "c")], "job string, code string"), log)
     assert sorted(r.value for r in files.read_log(spark, log).collect()) == ['{"job":"a"}', '{"job":"b","code":"c"}']
+    put(tmp_path / "one.jsonl", "\n".join(f'{{"job":"{i}"}}' for i in range(50)) + "\n\n")
+    last = events.tail(files.read_log(spark, str(tmp_path / "one.jsonl")), 2).orderBy("ord").select(F.to_json("entry")).collect()
+    assert [r[0] for r in last] == ['{"job":"48"}', '{"job":"49"}']
+    sinks.trim_log(files.read_log(spark, log), log, 1)
+    assert [r.value for r in spark.read.text(log).collect()] == ['{"job":"b","code":"c"}']
     path = str(tmp_path / "t")
     sinks.replace_table(spark.range(3).toDF("x"), path)
     sinks.replace_table(spark.read.parquet(path).where("x > 0"), path)
-    assert sorted(r.x for r in spark.read.parquet(path).collect()) == [1, 2] and sorted(os.listdir(tmp_path)) == ["log", "t"]
+    assert sorted(r.x for r in spark.read.parquet(path).collect()) == [1, 2] and {"log", "t"} <= set(os.listdir(tmp_path)) and not [n for n in os.listdir(tmp_path) if "-old-" in n or "-new-" in n]
     jobs = spark.createDataFrame([("p", None, "", "x", None), ("q", 'a"b', None, None, None)], "path string, claude_model string, profile string, asr_engine string, transcript_path string")
     values = {r.path: json.loads(r.value) for r in sinks.job_json(jobs).collect()}
     assert values == {"p": {"claude_model": None, "asr_engine": "x"}, "q": {"claude_model": 'a"b'}}
