@@ -67,45 +67,42 @@ def fold(df: DataFrame, key: str, order: str, start: Callable, schema: str) -> D
 
 
 class _Runs:
-    """Open block of a run: its first row, and the length of its text so far."""
+    """The open block of a run: its speaker, its text so far and the rows in it."""
 
     def __init__(self, key, cap: int):
-        self.key, self.cap, self.out, self.speaker, self.length = key, cap, -1, None, 0
+        self.key, self.cap, self.block, self.rows, self.text, self.speaker = key, cap, 0, 0, "", None
 
     def push(self, row):
-        body = math.ceil(row.body_chars / S.CHARS_PER_TOKEN)
-        if row.speaker == self.speaker and math.ceil(self.length / S.CHARS_PER_TOKEN) + body + 1 <= self.cap:
-            self.length += 1 + row.body_chars if row.body_chars else 0
+        tokens = math.ceil(len(self.text) / S.CHARS_PER_TOKEN) + math.ceil(len(row.body) / S.CHARS_PER_TOKEN) + 1
+        if row.speaker == self.speaker and tokens <= self.cap:
+            self.text = f"{self.text} {row.body}".rstrip()
+            self.rows += 1
         else:
-            self.out, self.length = self.out + 1, row.raw_chars
-        self.speaker = None if row.continued else row.speaker
-        yield (self.key, row.seg, self.out)
+            yield from self.close()
+            self.text, self.rows = row.raw, 1
+        # a continuation paragraph ends the run
+        self.speaker = None if "\n\n" in row.body else row.speaker
 
     def close(self):
-        return ()
+        if self.rows:
+            yield (self.key, self.block, self.rows, self.text)
+            self.block += 1
 
 
 def merge_turns(segments: DataFrame, max_tokens: int = S.MERGE_MAX_TOKENS) -> DataFrame:
-    """Runs of one speaker become one block while it stays within max_tokens; rows of parse_segments in, meeting_id, block, raw out.
+    """Runs of one speaker become one block while it stays within max_tokens; rows of parse_segments in, meeting_id, block, n_segments, raw out.
 
     A continuation paragraph ends a run: it stays with its own row, and the next row opens a block.
     """
-    measured = segments.select("meeting_id", "seg", "speaker", F.char_length("raw").alias("raw_chars"), F.char_length("body").alias("body_chars"), F.contains("body", F.lit("\n\n")).alias("continued"))
-    dealt = fold(measured, "meeting_id", "seg", lambda k: _Runs(k, max_tokens), "meeting_id string, seg bigint, block bigint")
-    joined = dealt.join(segments.select(F.col("meeting_id").cast("string").alias("meeting_id"), "seg", "raw", "body"), ["meeting_id", "seg"])
-    w = W.partitionBy("meeting_id", "block").orderBy("seg")
-    part = F.when(F.row_number().over(w) == 1, F.col("raw")).otherwise(F.nullif("body", F.lit("")))
-    parts = joined.withColumn("part", part).where("part IS NOT NULL").groupBy("meeting_id", "block").agg(F.array_sort(F.collect_list(F.struct("seg", "part"))).alias("p"))
-    return parts.select("meeting_id", "block", F.array_join(F.transform("p", lambda x: x["part"]), " ").alias("raw"))
+    rows = segments.select("meeting_id", "seg", "speaker", "body", "raw")
+    return fold(rows, "meeting_id", "seg", lambda k: _Runs(k, max_tokens), "meeting_id string, block bigint, n_segments bigint, raw string")
 
 
 def merge_transcripts(transcripts: DataFrame, max_tokens: int = S.MERGE_MAX_TOKENS) -> DataFrame:
     """meeting_id, md: transcripts with their runs merged, under what stands before the first header; those in which nothing merges stay as they are."""
-    segments = parse_segments(transcripts)
-    blocks = merge_turns(segments, max_tokens)
-    merged = blocks.groupBy("meeting_id").agg(F.count("*").alias("__out"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "raw"))), lambda x: x["raw"]), "\n\n").alias("__md"))
-    before = segments.groupBy(F.col("meeting_id").cast("string").alias("meeting_id")).agg(F.count("*").alias("__in"))
-    changed = merged.join(before, "meeting_id").where("__out < __in").select(F.col("meeting_id").alias("__id"), "__md")
+    blocks = merge_turns(parse_segments(transcripts), max_tokens)
+    merged = blocks.groupBy("meeting_id").agg(F.max("n_segments").alias("most"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "raw"))), lambda x: x["raw"]), "\n\n").alias("__md"))
+    changed = merged.where("most > 1").select(F.col("meeting_id").alias("__id"), "__md")
     parts = F.filter(F.transform(F.split("md", "\n\n", -1), strip), lambda b: b != "")
     first = F.array_position(F.transform(parts, lambda b: b.rlike("^" + S.HEADER)), True)
     head = F.slice(parts, F.lit(1), F.greatest(first - 1, F.lit(0)).cast("int"))
@@ -114,68 +111,60 @@ def merge_transcripts(transcripts: DataFrame, max_tokens: int = S.MERGE_MAX_TOKE
 
 
 class _Chunks:
-    """Open chunk: (seg, tokens) of its rows. A chunk that would overflow closes and leaves its tail for the next."""
+    """The open chunk's rows. A chunk that would overflow closes and leaves its tail for the next."""
 
     def __init__(self, key, most: int, overlap: int):
         self.key, self.most, self.overlap, self.no, self.rows, self.total = key, most, overlap, 0, [], 0
 
     def push(self, row):
-        tokens = int(row.tokens)
-        if self.rows and self.total + tokens > self.most:
+        if self.rows and self.total + row.tokens > self.most:
             yield from self.close()
             tail, kept = 0, len(self.rows)
-            while kept > 1 and tail + self.rows[kept - 1][1] <= self.overlap:
+            while kept > 1 and tail + self.rows[kept - 1].tokens <= self.overlap:
                 kept -= 1
-                tail += self.rows[kept][1]
+                tail += self.rows[kept].tokens
             self.rows, self.total, self.no = self.rows[kept:], tail, self.no + 1
-        self.rows.append((row.seg, tokens))
-        self.total += tokens
+        self.rows.append(row)
+        self.total += row.tokens
 
     def close(self):
-        for seg, _ in self.rows:
-            yield (self.key, self.no, seg)
+        if self.rows:
+            yield (self.key, self.no, [r.seg for r in self.rows], "\n\n".join(r.raw for r in self.rows), self.rows[0].start_seconds, self.rows[-1].start_seconds)
 
 
-def chunk_members(segments: DataFrame, max_tokens: int = S.CHUNK_MAX_TOKENS, overlap_tokens: int = S.CHUNK_OVERLAP_TOKENS) -> DataFrame:
-    """meeting_id, chunk, seg: rows packed in order under max_tokens, each chunk opening with the tail of the one before.
+def split_into_chunks(segments: DataFrame, max_tokens: int = S.CHUNK_MAX_TOKENS, overlap_tokens: int = S.CHUNK_OVERLAP_TOKENS) -> DataFrame:
+    """meeting_id, chunk, segs, text, start_seconds, end_seconds: rows packed in order under max_tokens, each chunk opening with the tail of the one before.
 
     No row is split: one of more than max_tokens has a chunk of its own. The tail leaves out a chunk's
-    first row and ends at the first row that doesn't fit overlap_tokens.
+    first row and ends at the first row that doesn't fit overlap_tokens. A chunk ends where its last row starts.
     """
     if overlap_tokens >= max_tokens:
         raise ValueError(f"an overlap of {overlap_tokens} tokens must be below the {max_tokens} of a chunk")
-    measured = segments.select("meeting_id", "seg", estimate_tokens(F.col("raw")).alias("tokens"))
-    return fold(measured, "meeting_id", "seg", lambda k: _Chunks(k, max_tokens, overlap_tokens), "meeting_id string, chunk bigint, seg bigint")
-
-
-def build_chunks(segments: DataFrame, members: DataFrame) -> DataFrame:
-    """meeting_id, chunk, n_segments, text, start_seconds, end_seconds; a chunk ends where its last row starts."""
-    s = segments.select(F.col("meeting_id").cast("string").alias("meeting_id"), F.col("seg").cast("bigint").alias("seg"), "raw", "start_seconds")
-    rows = members.join(s, ["meeting_id", "seg"]).groupBy("meeting_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("seg", "raw", "start_seconds"))).alias("r"))
-    return rows.select("meeting_id", "chunk", F.size("r").alias("n_segments"), F.array_join(F.transform("r", lambda x: x["raw"]), "\n\n").alias("text"), F.element_at("r", 1)["start_seconds"].alias("start_seconds"), F.element_at("r", -1)["start_seconds"].alias("end_seconds"))
-
-
-def split_into_chunks(segments: DataFrame, max_tokens: int = S.CHUNK_MAX_TOKENS, overlap_tokens: int = S.CHUNK_OVERLAP_TOKENS) -> DataFrame:
-    return build_chunks(segments, chunk_members(segments, max_tokens, overlap_tokens))
+    rows = segments.select("meeting_id", F.col("seg").cast("bigint").alias("seg"), "raw", F.col("start_seconds").cast("int").alias("start_seconds"), estimate_tokens(F.col("raw")).alias("tokens"))
+    return fold(rows, "meeting_id", "seg", lambda k: _Chunks(k, max_tokens, overlap_tokens), "meeting_id string, chunk bigint, segs array<bigint>, text string, start_seconds int, end_seconds int")
 
 
 class _Spans:
     """Group of voiced stretches that spans at most so many seconds."""
 
     def __init__(self, key, span: float):
-        self.key, self.span, self.no, self.start = key, span, -1, None
+        self.key, self.span, self.no, self.n, self.start, self.end = key, span, 0, 0, None, None
 
     def push(self, row):
-        if self.start is None or row.end - self.start > self.span:
-            self.no, self.start = self.no + 1, row.start
-        yield (self.key, row.seq, self.no)
+        if self.n and row.end - self.start > self.span:
+            yield from self.close()
+            self.no, self.n = self.no + 1, 0
+        if not self.n:
+            self.start = row.start
+        self.n, self.end = self.n + 1, row.end
 
     def close(self):
-        return ()
+        if self.n:
+            yield (self.key, self.no, self.n, self.start, self.end)
 
 
 def group_by_span(stretches: DataFrame, span: float = S.VAD_SPAN_SECONDS) -> DataFrame:
     """Stretches (meeting_id, seq, start, end) in order, grouped while a group's end less its start stays within span: meeting_id, grp, n, start, end."""
-    dealt = fold(stretches.select("meeting_id", "seq", "start", "end"), "meeting_id", "seq", lambda k: _Spans(k, span), "meeting_id string, seq bigint, grp bigint")
-    rows = stretches.select(F.col("meeting_id").cast("string").alias("meeting_id"), F.col("seq").cast("bigint").alias("seq"), "start", "end")
-    return dealt.join(rows, ["meeting_id", "seq"]).groupBy("meeting_id", "grp").agg(F.count("*").alias("n"), F.min_by("start", "seq").alias("start"), F.max_by("end", "seq").alias("end"))
+    kind = stretches.schema["start"].dataType.simpleString()
+    rows = stretches.where("start IS NOT NULL AND end IS NOT NULL").select("meeting_id", "seq", "start", "end")
+    return fold(rows, "meeting_id", "seq", lambda k: _Spans(k, span), f"meeting_id string, grp bigint, n bigint, start {kind}, end {kind}")

@@ -192,7 +192,7 @@ folded AS (SELECT meeting_id, n, 0 AS block, raw AS acc, CASE WHEN contains(body
 
 @register("w02_merge_turns", _MERGED_BLOCKS + " SELECT meeting_id, block, raw FROM merged_blocks")
 def merge_turns(spark, sf_dir):
-    return Q.merge_turns(_parsed(spark, sf_dir), _MERGE_CAP)
+    return Q.merge_turns(_parsed(spark, sf_dir), _MERGE_CAP).drop("n_segments")
 
 
 @register("w02_merge_transcripts", _MERGED_BLOCKS + """, whole AS (SELECT meeting_id, '# Transcript' || chr(10) || chr(10) || string_agg(raw, chr(10) || chr(10) ORDER BY block) AS md FROM merged_blocks GROUP BY meeting_id) SELECT r.meeting_id, CASE WHEN (SELECT count(*) FROM parsed p WHERE p.meeting_id = r.meeting_id) = (SELECT count(*) FROM merged_blocks b WHERE b.meeting_id = r.meeting_id::VARCHAR) THEN r.md ELSE w.md END AS md FROM rendered r JOIN whole w ON w.meeting_id = r.meeting_id::VARCHAR""")
@@ -216,7 +216,7 @@ FROM folded f JOIN ordered o ON o.meeting_id = f.meeting_id AND o.n BETWEEN f.a
 )
 def split_into_chunks(spark, sf_dir):
     """Chunks of 400 tokens with 100 of overlap; a row that would overflow after a tail still joins it, as each chunk takes at least one new row."""
-    return Q.split_into_chunks(_parsed(spark, sf_dir), 400, 100)
+    return Q.split_into_chunks(_parsed(spark, sf_dir), 400, 100).withColumn("segs", F.size("segs")).withColumnRenamed("segs", "n_segments")
 
 
 @register(

@@ -1,5 +1,6 @@
 """Stated cases, ties, nulls and empty inputs of the conversation operators."""
 
+import math
 import random
 
 import pytest
@@ -113,15 +114,11 @@ def test_chunks_against_a_list_version(spark, seed):
     rng = random.Random(seed)
     sizes = [rng.choice([1, 5, 20, 40, 130]) for _ in range(60)]
     segs = spark.createDataFrame([("m", i, "x" * int(n * 1.1), i) for i, n in enumerate(sizes)], "meeting_id string, seg int, raw string, start_seconds int")
-    got = {}
-    for r in sequences.chunk_members(segs, 100, 30).collect():
-        got.setdefault(r.chunk, []).append(r.seg)
-    import math
-
+    got = {r.chunk: r.segs for r in sequences.split_into_chunks(segs, 100, 30).collect()}
     tokens = [math.ceil(int(n * 1.1) / 1.1) for n in sizes]
-    assert [sorted(got[k]) for k in sorted(got)] == brute_chunks(tokens, 100, 30)
+    assert [got[k] for k in sorted(got)] == brute_chunks(tokens, 100, 30)
     with pytest.raises(ValueError):
-        sequences.chunk_members(segs, 10, 10)
+        sequences.split_into_chunks(segs, 10, 10)
 
 
 def test_labels_number_the_unknown_alone(spark):
@@ -177,8 +174,9 @@ def test_registry_changes(spark):
     got = {r.name: (r.id, r.sample_count) for r in voices.registry_summary(voices.add_samples(reg, new)).collect()}
     assert got["Ann"] == ("i1", 10) and got["Bob"] == ("i2", 1) and got["Cid"][1] == 1 and set(got) == {"Ann", "Bob", "Cid"}
     assert {r.name for r in voices.rename_speaker(reg, "i2", "Rob").collect()} == {"Ann", "Rob"}
-    with pytest.raises(Exception, match="taken"):
-        voices.rename_speaker(reg, "i2", "Ann").collect()
+    for name, message in (("Ann", "taken"), (" [] ", "empty")):
+        with pytest.raises(ValueError, match=message):
+            voices.rename_speaker(reg, "i2", name)
     assert voices.remove_speaker(reg, "i1").count() == 1
 
 
