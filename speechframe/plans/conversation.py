@@ -294,7 +294,7 @@ def find_collisions(spark, sf_dir):
     return D.find_collisions(V.dictionary(spark))
 
 
-_TALLY = "tally AS (SELECT wrong, sum((length(text) - length(replace(text, wrong, ''))) // length(wrong))::BIGINT AS hits, count_if(contains(text, wrong)) AS meetings FROM documents, (SELECT DISTINCT wrong FROM dictionary) GROUP BY wrong)"
+_TALLY = "tally AS (SELECT wrong, sum((length(text) - length(replace(text, wrong, ''))) // length(wrong))::BIGINT AS hits, count_if(contains(text, wrong))::BIGINT AS meetings FROM documents, (SELECT DISTINCT wrong FROM dictionary) GROUP BY wrong)"
 
 
 @register("j07_count_in_transcripts", V.sql("dictionary", "") + ", " + _TALLY + " SELECT wrong, coalesce(hits, 0) AS hits, meetings FROM tally")

@@ -19,7 +19,7 @@ def utterances(spark, sf_dir) -> DataFrame:
     """meeting_id, seq, speaker, text, start, end: the lines of conversations, timed by their lengths."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text")).where("text <> ''")
     w = W.partitionBy("conv_id").orderBy("turn", "pos")
-    d = c.withColumn("seq", F.row_number().over(w) - 1).withColumn("dur", (1 + F.call_function("div", F.char_length("text"), F.lit(15))).cast("bigint"))
+    d = c.withColumn("seq", (F.row_number().over(w) - 1).cast("bigint")).withColumn("dur", (1 + F.call_function("div", F.char_length("text"), F.lit(15))).cast("bigint"))
     before = F.coalesce(F.sum("dur").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
     return d.withColumn("start", before).select(F.col("conv_id").alias("meeting_id"), "seq", F.col("role").alias("speaker"), "text", "start", (F.col("start") + F.col("dur")).alias("end"))
 

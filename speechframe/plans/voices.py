@@ -395,7 +395,7 @@ def settings(spark, sf_dir):
     word = F.when(F.col("n") < 10, " Yes ").when(F.col("n") < 20, "off").otherwise("maybe")
     raw = F.when(F.col("n") < 25, F.col("n") * 1000 - 3000)
     status = F.when(F.col("n") < 25, 503).otherwise(404)
-    return p.select("p_partkey", X.read_bool(word, True).alias("flag"), raw.alias("raw"), X.read_overlap(F.coalesce(raw.cast("string"), F.lit("x"))).alias("overlap"), X.read_float(F.when(F.col("n") < 25, (F.col("n") / 2).cast("string")).otherwise("?"), 0.5).alias("ratio"), X.is_retryable(status, F.lit(None).cast("string")).alias("again"))
+    return p.select("p_partkey", X.read_bool(word, True).alias("flag"), raw.cast("int").alias("raw"), X.read_overlap(F.coalesce(raw.cast("string"), F.lit("x"))).alias("overlap"), X.read_float(F.when(F.col("n") < 25, (F.col("n") / 2).cast("string")).otherwise("?"), 0.5).alias("ratio"), X.is_retryable(status, F.lit(None).cast("string")).alias("again"))
 
 
 @register("a17_worst_status", "SELECT 'fail' AS status, count(*) AS n, string_agg('[' || CASE WHEN n_regionkey = 0 THEN 'fail' WHEN n_regionkey < 3 THEN 'warn' ELSE 'ok' END || '] ' || n_name, chr(10) ORDER BY n_nationkey) AS report FROM nation")
