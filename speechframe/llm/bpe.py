@@ -27,7 +27,7 @@ from speechframe.llm.common import extended, without
 #: States that a worker holds before it starts afresh, pieces in each of its two generations of memoised pieces, and
 #: rows it turns into Python objects at a time; the results do not depend on them.
 MAX_STATES = 60_000
-MAX_PIECES = 250_000
+MAX_PIECES = 200_000
 MEMO_CHARS = 48
 SLICE_ROWS = 256
 #: Bytes of a long piece after which the settled tokens are emitted.
@@ -61,7 +61,8 @@ class BpeTransducer:
                 node = to
             self.rank_at[node] = rank
         self.size = {rank: len(token) for rank, token in self.token.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        # by left + 1 and right, packed in one number
+        self.pairs: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -96,7 +97,7 @@ class BpeTransducer:
             ok = self._merged(self.token[right]) == [right]
         else:
             ok = self._merged(self.token[left] + self.token[right]) == [left, right]
-        self.pairs[left, right] = ok
+        self.pairs[left + 1 << 32 | right] = ok
         return ok
 
     def _step(self, state: int, byte: int) -> tuple[int, int]:
@@ -110,7 +111,7 @@ class BpeTransducer:
                 inside.append((last, node))
             rank = rank_at[node]
             if rank >= 0 and ended < 0:  # at most one token can end here
-                ok = pairs.get((last, rank))
+                ok = pairs.get(last + 1 << 32 | rank)
                 if self._follows(last, rank) if ok is None else ok:
                     ended = rank
         arc = self.arcs[state << 8 | byte] = (self._state(((ended, 0), *inside)), ended)

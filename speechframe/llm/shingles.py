@@ -8,7 +8,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that a task turns into arrays at a time; a longer text stands alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: Rows of a batch that are Python objects at a time.
+SLICE_ROWS = 256
 
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -45,7 +47,8 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 def text_chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first, UTF-8 texts) of consecutive texts with about CHUNK_BYTES together; null counts as empty."""
     first, held, size = 0, [], 0
-    for i, text in enumerate(texts.cast(pa.binary()).to_pylist()):
+    rows = (text for at in range(0, len(texts), SLICE_ROWS) for text in texts.slice(at, SLICE_ROWS).cast(pa.binary()).to_pylist())
+    for i, text in enumerate(rows):
         text = text or b""
         if held and size + len(text) > CHUNK_BYTES:
             yield first, held
