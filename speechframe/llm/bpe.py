@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from speechframe.llm.common import extended, without
+from speechframe.llm.common import extended, small_batches, without
 
 #: States that a worker holds before it starts afresh, pieces in each of its two generations of memoised pieces, and
 #: rows it turns into Python objects at a time; the results do not depend on them.
@@ -331,6 +331,7 @@ def encode(df: DataFrame, text_col: str = "text", ranks_path: str | None = None,
     rows are each encoded; an empty table stays empty; input columns with the names of added ones are
     replaced. ranks_path must be readable on every executor.
     """
+    small_batches(df.sparkSession)
     path = ranks_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     pattern = pattern or public_tokenizers.PATTERN
     fields = [*ENCODED, *(DECODED if check else [])]

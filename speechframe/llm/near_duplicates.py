@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechframe.llm.common import row_key, without_rows, written
+from speechframe.llm.common import row_key, small_batches, without_rows, written
 from speechframe.llm.graph import components
 from speechframe.llm.shingles import MinHash, shingle_sets, text_chunks
 
@@ -218,6 +218,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, toleran
     collisions of 64-bit shingle hashes; a linked pair is missed with a probability below 5e-8 for
     want of a band in common, and 1e-5 by pruning.
     """
+    small_batches(docs.sparkSession)
     sketch = written(sketches(docs, size), "sketches")
     held = sketch.where("class IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(held.groupBy("class").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")).withColumn("doc_id", F.col("least.doc_id")), "classes")

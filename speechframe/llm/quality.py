@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechframe.llm.common import row_key, without_rows, written
+from speechframe.llm.common import row_key, small_batches, without_rows, written
 from speechframe.llm.shingles import text_chunks, words_of
 
 #: Labelled documents that the classifier is fitted on, at most; those with the least hash of their doc_id.
@@ -219,6 +219,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, host: Column | None = Non
     kept; an empty table stays empty; other columns are ignored. Rates cover all rows; groups of any
     size are summed before the shuffle.
     """
+    small_batches(docs.sparkSession)
     model = fit(docs, labels, sample_rows)
     keyed = docs.select(
         "doc_id", "text", row_key().alias("row"), F.coalesce((host if host is not None else F.col("source")).cast("string"), F.lit("")).alias("host"), F.coalesce((path if path is not None else F.col("lang")).cast("string"), F.lit("")).alias("path")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from speechframe.llm.common import extended, without
+from speechframe.llm.common import extended, small_batches, without
 
 SPACE = "▁"
 #: Counts of merged pre-tokens that a worker holds before it starts afresh, and the longest it keeps.
@@ -122,6 +122,7 @@ def count_tokens(df: DataFrame, text_col: str = "text", model_path: str | None =
     count as empty (0 bytes, 0 tokens); repeated rows are each counted; an empty table stays empty;
     input columns named n_bytes or n_tokens are replaced. model_path must be readable on every executor.
     """
+    small_batches(df.sparkSession)
     path = model_path or public_tokenizers.path("piece_bpe_32k.model")
     df = without(df, ["n_bytes", "n_tokens"])
     at = df.columns.index(text_col)
