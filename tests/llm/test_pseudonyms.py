@@ -138,3 +138,11 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(1, "1.2.3.4", "q")], "doc_id long, text string, private_kinds string")
     assert pseudonyms.pseudonymise(df).columns == ["doc_id", "text", "private_kinds"]
     assert pseudonyms.digest(df.limit(0)).count() == 0
+
+
+def test_values_without_digits_are_replaced(spark):
+    cases = ["password=hunterxyz", "see token:abcdefgh now", "a" * 16 + "bcdef" * 4, "ABCDEF" * 6]
+    got = out_of(spark, [*cases, "7 password=hunterxyz"])
+    assert [kinds for _, kinds in got] == [["password"], ["password"], ["secret"], ["secret"], ["password"]]
+    assert got[0][0] == brute(cases[0]) and got[4][0] == "7 " + got[0][0] and got[1][0] == "see " + brute("token:abcdefgh") + " now"
+    assert [t for t, _ in got[2:4]] == [brute(c) for c in cases[2:]]
