@@ -19,12 +19,12 @@ DATE_A, DATE_B, DATE_BASE = 189, 773, "1600-01-01"
 SSN_A, SSN_B = 898, 99 * 9999
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: Kind to pattern, in order of precedence. All quantifiers are bounded, so long runs cost linear time.
+#: Kind to pattern, in order of precedence. Quantifiers are bounded or possessive, so long runs cost linear time.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9\-])",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])",
     "access key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "password": r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api_?key)[=:][A-Za-z0-9+/_\-]{6,64}",
+    "password": r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api_?key)[=:][A-Za-z0-9+/_\-]{6,}+",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9]|[./\-][0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
@@ -70,6 +70,11 @@ def _permuted(key: str, kind: str, text: Column, radix: int) -> Column:
     return F.array_join(F.transform(starts, lambda i: _part(key, kind, F.substring(text, i, F.lit(step)), radix)), "")
 
 
+def _chunked(text: Column, use) -> Column:
+    """use() of each 64 characters, joined: what is quadratic in a value's length stays linear."""
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(".{1,64}"), F.lit(0)), use), "")
+
+
 def _once(value: Column, use) -> Column:
     """use(value), with value computed once however often use mentions it; null for null."""
     return F.get(F.transform(F.array(value), lambda v: F.when(v.isNotNull(), use(v))), 0)
@@ -157,7 +162,7 @@ def pseudonym(hit: Column, key: str) -> Column:
         "email": (hit.contains("@"), email),
         "secret": (hit.rlike("^[0-9A-Fa-f]{32,}$"), F.when(hit.rlike("[A-F]"), F.upper(hexed)).otherwise(hexed)),
         "access key": (hit.rlike("^AKIA[0-9A-Z]{16}$"), F.concat(F.lit("AKIA"), F.upper(_permuted(key, "access key", F.lower(F.substring(hit, 5, 16)), 36)))),
-        "password": (hit.rlike("^[A-Za-z_]+[=:]"), F.concat(sign, _once(word, lambda w: F.when(w.rlike("[0-9A-Za-z]"), _filled(w, "0-9A-Za-z", _permuted(key, "password", symbols(F.lower(w)), 36))).otherwise(w)))),
+        "password": (hit.rlike("^[A-Za-z_]+[=:]"), F.concat(sign, _chunked(word, lambda w: F.when(w.rlike("[0-9A-Za-z]"), _filled(w, "0-9A-Za-z", _permuted(key, "password", symbols(F.lower(w)), 36))).otherwise(w)))),
         "ip": (hit.rlike(r"^[0-9]+(\.[0-9]+){3}$"), _ip(key, hit)),
         "date": (hit.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})$"), _date(key, hit)),
         "ssn": (hit.rlike(r"^\d{3}-\d{2}-\d{4}$"), _filled(hit, "0-9", _ssn(key, digits))),

@@ -146,3 +146,9 @@ def test_values_without_digits_are_replaced(spark):
     assert [kinds for _, kinds in got] == [["password"], ["password"], ["secret"], ["secret"], ["password"]]
     assert got[0][0] == brute(cases[0]) and got[4][0] == "7 " + got[0][0] and got[1][0] == "see " + brute("token:abcdefgh") + " now"
     assert [t for t, _ in got[2:4]] == [brute(c) for c in cases[2:]]
+
+
+@pytest.mark.parametrize("n", [64, 65, 128, 1000])
+def test_long_passwords_are_replaced_whole(spark, n):
+    case = "token:" + ("aB3dE6gH" * (n // 8 + 1))[:n]
+    assert out_of(spark, [f"see {case} now"]) == [(f"see {brute(case)} now", ["password"])]
