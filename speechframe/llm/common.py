@@ -40,9 +40,12 @@ def extended(df: DataFrame, fields: list[tuple[str, T.DataType]]) -> T.StructTyp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and Spark runs
+    in one process (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='speechframe-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -64,6 +67,22 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key of more than a HOT_SHARE-th of a join's rows, and of HOT_LEAST rows, is joined by broadcast.
+HOT_SHARE, HOT_LEAST = 10_000, 256
+
+
+def joined_on(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with keyed, which has a row a key with n, the key's number of rows; total is the sum of all n.
+
+    Keys of many rows would each fill one task, so they are broadcast: as their n exceed total / HOT_SHARE
+    and HOT_LEAST, there are at most HOT_SHARE of them. The others are shuffled.
+    """
+    most = max(HOT_LEAST, total // HOT_SHARE)
+    hot = keyed.where(F.col("n") > most)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(F.col("n") <= most), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 #: Rows to drop up to which their keys are broadcast (some 40 bytes a row); beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 

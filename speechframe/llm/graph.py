@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechframe.llm.common import drop_written, written
+from speechframe.llm.common import drop_written, joined_on, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node links its larger neighbours to the least of its neighbourhood."""
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    """Each node links its larger neighbours to the least of its neighbourhood; n is the number of edges."""
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
+    return joined_on(both.where("v > u"), least, "u", 2 * n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Each node links its smaller neighbours, and itself, to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    kept = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    kept = joined_on(down, least, "u", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return kept.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -32,12 +32,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Loops and repeated edges are fine, edges with a null end are ignored, and an empty table has no
     nodes. Each round is written to the shared folder, which cuts the lineage; the number of rounds
-    grows with the logarithm of the largest component. Hubs are aggregated before the shuffle.
+    grows with the logarithm of the largest component. Hubs are aggregated before the shuffle and
+    joined by broadcast.
     """
     edges = written(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select("u", "v").distinct(), "edges")
     before = _state(edges)
     while before[0]:
-        after = written(_small_star(_large_star(edges)), "edges")
+        # a large star has no more edges than there were
+        after = written(_small_star(_large_star(edges, before[0]), before[0]), "edges")
         now = _state(after)
         drop_written(edges)
         edges = after

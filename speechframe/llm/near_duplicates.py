@@ -1,11 +1,13 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
 Texts with one set of word shingles form a class, and only classes are compared. Classes that agree
-in a band of MinHash values are linked to the least class of the band, so a band's group costs as many
-links as it has members; the connected components of those links hold every candidate pair. A
-component is cut into blocks of bounded size, and each pair of blocks is one task's work: MinHash
-values are compared a few at a time, pairs whose posterior probability of reaching the threshold falls
-below the tolerance are dropped, and the rest are verified on their shingle sets.
+in a band of MinHash values are compared by short sketches of those values, a few at a time: pairs
+whose posterior probability of reaching the threshold falls below the tolerance are dropped, and what
+is left is handed on as a forest, a link a class at most. A band's classes meet its least one first;
+only those that it rules out meet all others, so a group of near copies costs as many comparisons as
+it has members. The connected components of the forest hold every candidate pair. A component is cut
+into blocks of bounded size, and each pair of blocks is one task's work: whole MinHash values are
+compared in the same way, and the pairs that stay are verified on their shingle sets.
 """
 
 from __future__ import annotations
@@ -19,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechframe.llm.common import row_key, small_batches, without_rows, written
+from speechframe.llm.common import joined_on, row_key, small_batches, without_rows, written
 from speechframe.llm.graph import components
-from speechframe.llm.shingles import MinHash, shingle_sets, text_chunks
+from speechframe.llm.shingles import MinHash, _ranges, shingle_sets, text_chunks
 
 #: Bands of rows: a pair at the threshold of 0.8 shares no band with probability (1 - 0.8^4)^32 < 5e-8.
 BANDS, ROWS = 32, 4
-#: MinHash values compared between two prunings.
-STEP = 16
+#: MinHash values compared between two prunings, and values of a sketch: a byte of every second one.
+STEP, SKETCH = 16, 64
+#: Rows of classes in bands that one task compares at a time, and pairs of them.
+SLOT_ROWS, SLOT_PAIRS = 20_000, 1 << 18
 #: Classes and shingles of a block; a pair of blocks is compared in one task.
 BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 1 << 20
 #: Rows of candidate classes up to which they are broadcast (some 80 bytes a row); beyond, both sides are shuffled.
@@ -52,7 +56,7 @@ def least_matches(threshold: float, tolerance: float, hashes: int, step: int) ->
 
 
 def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
-    """Per document row: doc_id, row (row_key()), class (digest of its shingle set; null without words), n_shingles, signature."""
+    """Per document row: doc_id, row (row_key()), class (digest of its shingle set; null without words), n_shingles, signature, sketch."""
     docs = docs.select("doc_id", "text", row_key().alias("row"))
 
     def run(batches):
@@ -63,9 +67,9 @@ def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
                 sets = shingle_sets(texts, size)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 rows = minhash.signatures(sets[i] for i in full)
-                signature = [None] * len(sets)
+                signature, sketch = [None] * len(sets), [None] * len(sets)
                 for i, row in zip(full, rows, strict=True):
-                    signature[i] = row.tobytes()
+                    signature[i], sketch[i] = row.tobytes(), row.astype("<u4").view(np.uint8)[:: 4 * BANDS * ROWS // SKETCH].tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(first, len(texts)),
@@ -73,21 +77,129 @@ def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.array(signature, pa.binary()),
+                        pa.array(sketch, pa.binary()),
                     ],
-                    names=["doc_id", "row", "class", "n_shingles", "signature"],
+                    names=["doc_id", "row", "class", "n_shingles", "signature", "sketch"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, class binary, n_shingles int, signature binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, class binary, n_shingles int, signature binary, sketch binary")
+
+
+def _alike(sketches: np.ndarray, i: np.ndarray, j: np.ndarray, least: list[int]) -> np.ndarray:
+    """Which pairs of sketches are not ruled out."""
+    alike = np.zeros(len(i), dtype=bool)
+    for a in range(0, len(i), SLOT_PAIRS):
+        at = np.arange(a, min(a + SLOT_PAIRS, len(i)))
+        m = np.zeros(len(at), dtype=np.int16)
+        for step, fewest in enumerate(least):
+            part = slice(step * STEP, (step + 1) * STEP)
+            m += (sketches[i[at], part] == sketches[j[at], part]).sum(axis=1, dtype=np.int16)
+            at, m = at[m >= fewest], m[m >= fewest]
+        alike[at] = True
+    return alike
+
+
+def _forest(names: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.Table:
+    """u, v: edges that connect what the pairs of rows connect, a class being one node wherever it stands."""
+    classes, node = np.unique(names, return_inverse=True)
+    roots = _roots(len(classes), node[i], node[j])
+    apart = np.flatnonzero(roots != np.arange(len(roots)))
+    return pa.table({"u": pa.array(classes[apart].tolist(), pa.binary()), "v": pa.array(classes[roots[apart]].tolist(), pa.binary())})
+
+
+def _columns(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and sketches of a table's rows."""
+    names = np.array(group.column("class").to_pylist(), dtype=object)
+    return names, np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(names), SKETCH)
+
+
+def _bands_compared(least: list[int]):
+    def run(group: pa.Table) -> pa.Table:
+        """The forest of a table of whole bands (key, class, sketch)."""
+        names, sketches = _columns(group)
+        key = group.column("key").to_numpy()
+        order = np.array(sorted(range(len(key)), key=lambda i: (key[i], names[i])), dtype=np.int64)
+        names, sketches, key = names[order], sketches[order], key[order]
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(begin, len(key)))
+        first = np.repeat(begin, size)
+        near = _alike(sketches, np.arange(len(key)), first, least)
+        rest = np.flatnonzero(~near)
+        each = np.repeat(size, size)[rest]
+        left, right = [np.flatnonzero(near)], [first[near]]
+        # a part of the pairs at a time, of which a tree for each connected piece is kept
+        for part in np.split(np.arange(len(rest)), np.flatnonzero(np.diff(np.cumsum(each) // (4 * SLOT_PAIRS))) + 1):
+            i, j = np.repeat(rest[part], each[part]), _ranges(first[rest[part]], each[part])
+            useful = near[j] & (j != first[i]) | (j > i)
+            i, j = i[useful], j[useful]
+            stay = _alike(sketches, i, j, least)
+            root = _roots(len(key), i[stay], j[stay])
+            left.append(np.flatnonzero(root != np.arange(len(root))))
+            right.append(root[left[-1]])
+        return _forest(names, np.concatenate(left), np.concatenate(right))
+
+    return run
+
+
+def _blocks_compared(least: list[int]):
+    def run(group: pa.Table) -> pa.Table:
+        """The forest of one pair of blocks of a large band: what its least class rules out, against each other or the rest."""
+        names, sketches = _columns(group)
+        own, near = group.column("own").to_numpy(), group.column("near").to_numpy(zero_copy_only=False)
+        low, among = group.column("low")[0].as_py(), group.column("among")[0].as_py()
+        left = np.flatnonzero(~near & (own == low)) if among else np.flatnonzero(~near)
+        right = np.flatnonzero(own == group.column("high")[0].as_py()) if among else np.flatnonzero(near)
+        i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+        stay = _alike(sketches, i, j, least)
+        return _forest(names, i[stay], j[stay])
+
+    return run
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """class, root: the classes that share a band with another, by component."""
+def _large_bands(rows: DataFrame, least: list[int]) -> DataFrame:
+    """u, v: the forest of bands that are too large for one task."""
+    firsts = rows.groupBy("key").agg(F.min(F.struct("class", "sketch")).alias("least"))
+
+    def mark(batches):
+        for batch in batches:
+            columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            sides = np.frombuffer(b"".join(columns["sketch"].to_pylist() + columns["first"].to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
+            at = np.arange(batch.num_rows)
+            near = _alike(sides, at, at + batch.num_rows, least)
+            yield pa.RecordBatch.from_arrays([columns["key"], columns["class"], columns["sketch"], columns["least"], pa.array(near)], names=["key", "class", "sketch", "least", "near"])
+
+    # at most one row for each BLOCK_CLASSES of rows
+    few = firsts.count() <= BROADCAST_ROWS
+    met = rows.join(F.broadcast(firsts) if few else firsts, "key").select("key", "class", "sketch", F.col("least.class").alias("least"), F.col("least.sketch").alias("first"))
+    marked = written(met.mapInArrow(mark, "key long, class binary, sketch binary, least binary, near boolean"), "marked")
+    star = marked.where("near AND class <> least").select(F.col("class").alias("u"), F.col("least").alias("v"))
+    left = marked.groupBy("key").agg(F.count_if(~F.col("near")).alias("rest"), F.count_if("near").alias("kin")).where("rest > 0")
+    parts = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK_CLASSES), F.lit(1)).cast("int")
+    left = left.select("key", parts("rest").alias("rests"), parts("kin").alias("kins"))
+    grid = marked.join(F.broadcast(left) if few else left, "key").withColumn("own", F.pmod(F.xxhash64("class"), F.when(F.col("near"), F.col("kins")).otherwise(F.col("rests"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda among, low, high: F.struct(among.alias("among"), low.alias("low"), high.alias("high"))
+    with_rest = F.transform(upto("rests"), lambda k: cell(F.lit(True), F.least("own", k), F.greatest("own", k)))
+    with_kin = F.transform(upto("kins"), lambda k: cell(F.lit(False), F.col("own"), k))
+    of_kin = F.transform(upto("rests"), lambda k: cell(F.lit(False), k, F.col("own")))
+    cells = grid.select("key", "class", "sketch", "near", "own", F.explode(F.when(F.col("near"), of_kin).otherwise(F.concat(with_rest, with_kin))).alias("cell"))
+    return star.union(cells.select("key", "class", "sketch", "near", "own", "cell.*").groupBy("key", "among", "low", "high").applyInArrow(_blocks_compared(least), "u binary, v binary"))
+
+
+def _candidates(classes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """class, root: the classes that may be linked to another, by component."""
     width = 4 * ROWS
+    least = least_matches(threshold, tolerance, SKETCH, STEP)
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("signature", b * width + 1, width)) for b in range(BANDS)])
     banded = classes.select("class", F.explode(keys).alias("key"))
-    # pre-aggregated, so a band that many classes share sends few rows
-    least = banded.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("key", "least")
-    edges = banded.join(least, "key").where("class <> least").select(F.col("class").alias("u"), F.col("least").alias("v"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = joined_on(banded, shared, "key", BANDS * classes.count())
+    rows = written(met.join(classes.select("class", "sketch"), "class").select("key", "n", "class", "sketch"), "bands")
+    large = F.col("n") > BLOCK_CLASSES
+    slots = math.ceil(rows.count() / SLOT_ROWS) or 1
+    edges = rows.where(~large).select("key", "class", "sketch", F.pmod("key", F.lit(slots)).alias("slot")).groupBy("slot").applyInArrow(_bands_compared(least), "u binary, v binary")
+    if not (many := rows.where(large)).isEmpty():
+        edges = edges.union(_large_bands(many, least))
     return components(edges).select(F.col("node").alias("class"), "root")
 
 
@@ -216,13 +328,13 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, toleran
     replaced by no id: its row is a group of its own, but not compared. Repeated rows count as copies
     of each other; an empty table stays empty; other columns are ignored. Similarity is exact up to
     collisions of 64-bit shingle hashes; a linked pair is missed with a probability below 5e-8 for
-    want of a band in common, and 1e-5 by pruning.
+    want of a band in common, and 2e-5 by pruning. A text's length sets its own cost alone.
     """
     small_batches(docs.sparkSession)
     sketch = written(sketches(docs, size), "sketches")
     held = sketch.where("class IS NOT NULL AND doc_id IS NOT NULL")
-    classes = written(held.groupBy("class").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")).withColumn("doc_id", F.col("least.doc_id")), "classes")
-    candidates = written(_candidates(classes), "candidates")
+    classes = written(held.groupBy("class").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")).withColumn("doc_id", F.col("least.doc_id")), "classes")
+    candidates = written(_candidates(classes, threshold, tolerance), "candidates")
     sized = candidates.join(classes.select("class", "doc_id", "copies", "n_shingles"), "class")
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK_CLASSES, F.col("shingles_in") / BLOCK_SHINGLES)).cast("int")
     counts = sized.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles_in")).select("root", blocks.alias("blocks"))

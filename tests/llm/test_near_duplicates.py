@@ -58,6 +58,61 @@ def test_small_blocks_and_shuffled_join_give_the_same(spark, monkeypatch):
     assert run(spark, docs) == brute(docs)
 
 
+def forest_roots(nodes, edges):
+    root = {n: n for n in nodes}
+    for u, v in edges:
+        a, b = root[u], root[v]
+        root = {n: min(a, b) if r in (a, b) else r for n, r in root.items()}
+    return root
+
+
+def banded(spark, monkeypatch, groups, block, pairs=1 << 18):
+    """Components by class of what the bands' comparison links, and the pairs in a band that it may not lose."""
+    monkeypatch.setattr(near_duplicates, "BLOCK_CLASSES", block)
+    monkeypatch.setattr(near_duplicates, "SLOT_PAIRS", pairs)
+    rng = np.random.default_rng(3)
+    rows = []
+    for kind in range(groups):
+        base = rng.integers(0, 1 << 32, 128, dtype=np.uint32)
+        for _ in range(rng.integers(1, 12)):
+            row = np.where(rng.random(128) < rng.choice([0.0, 0.1, 0.9]), rng.integers(0, 1 << 32, 128, dtype=np.uint32), base)
+            row[: 4 * (kind % 2)] = 7  # a band that half of all have in common
+            rows.append((rng.bytes(16), row.tobytes(), row.view(np.uint8)[::8].tobytes()))
+    df = spark.createDataFrame(rows, "class binary, signature binary, sketch binary")
+    found = {bytes(r["class"]): bytes(r.root) for r in near_duplicates._candidates(df, 0.8, 1e-6).collect()}
+    least = near_duplicates.least_matches(0.8, 1e-6, near_duplicates.SKETCH, near_duplicates.STEP)
+    sketches = np.array([np.frombuffer(r[2], np.uint8) for r in rows])
+    bands = np.array([np.frombuffer(r[1], np.uint8) for r in rows]).reshape(len(rows), near_duplicates.BANDS, -1)
+    i, j = np.triu_indices(len(rows), 1)
+    meet = (bands[i] == bands[j]).all(axis=2).any(axis=1) & near_duplicates._alike(sketches, i, j, least)
+    return found, forest_roots([r[0] for r in rows], [(rows[a][0], rows[b][0]) for a, b in zip(i[meet], j[meet], strict=True)])
+
+
+def test_bands_link_what_sketches_do_not_rule_out(spark, monkeypatch):
+    for block, pairs in ((1024, 1 << 18), (1024, 8), (4, 1 << 18)):
+        found, expected = banded(spark, monkeypatch, 12, block, pairs)
+        linked = {c for c, r in expected.items() if c != r or list(expected.values()).count(r) > 1}
+        assert len(linked) > 20 and found == {c: expected[c] for c in linked}
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    from speechframe.llm import common, graph
+
+    monkeypatch.setattr(common, "HOT_LEAST", 3)
+    rng = random.Random(8)
+    edges = [(0, i) for i in range(1, 40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(50)] + [(90, i) for i in range(50, 70)] + [(i, i + 1) for i in range(200, 230)]
+    expected = forest_roots({n for e in edges for n in e if e[0] != e[1]}, [e for e in edges if e[0] != e[1]])
+    df = spark.createDataFrame([*edges, (None, 3)], "u long, v long")
+    assert {r.node: r.root for r in graph.components(df).collect()} == expected
+
+
+def test_very_long_text(spark):
+    rng = random.Random(14)
+    text = " ".join(f"w{rng.randrange(9999)}" for _ in range(200_000))
+    docs = [(1, text), (2, text + " more"), (3, text[: len(text) // 3])]
+    assert run(spark, docs) == [(1, 1, 1), (2, 1, 1), (3, 3, 0)]
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 
