@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechframe.llm.common import written
+from speechframe.llm.common import shared_dir, written
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
@@ -126,9 +126,12 @@ def bucketed_blocks(docs: DataFrame) -> tuple[DataFrame, int]:
 
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, "block long, texts binary, sizes binary, ids binary, known binary")
-    name = f"speechframe_blocks_{uuid.uuid4().hex}"
-    rows.write.option("compression", "uncompressed").bucketBy(max(8, math.ceil(total / BUCKET_BYTES)), "block").saveAsTable(name)
-    return docs.sparkSession.table(name), max(4, math.ceil(total / KEY_TASK_BYTES))
+    spark, name = docs.sparkSession, f"speechframe_blocks_{uuid.uuid4().hex}"
+    # the files stand in the shared folder; the catalog's entry is only needed to read them as buckets
+    rows.write.option("path", f"{shared_dir(spark)}/{name}").option("compression", "uncompressed").bucketBy(max(8, math.ceil(total / BUCKET_BYTES)), "block").saveAsTable(name)
+    blocks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return blocks, max(4, math.ceil(total / KEY_TASK_BYTES))
 
 
 def shared_keys(blocks: DataFrame, keys_of: Callable[[dict], Keys]) -> DataFrame:
