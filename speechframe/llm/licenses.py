@@ -1,7 +1,10 @@
 """License scans: exact set-similarity join of text blocks with license templates.
 
-A block is a line, or a window of a longer line. Tokens are ordered by how often they occur in the
-whole corpus, rarest first. A block that holds at least a share t of a template's n tokens shares
+A block is a line, a window of a longer line, or a window of the whole text, so that a statement that
+wraps over lines stands in a block as well. Windows are twice as long as the statements that are
+looked for in them, and overlap by half: templates are sorted into classes by their lengths, each with
+windows of its own. Tokens are ordered by how often they occur in the whole corpus, rarest first. A
+block that holds at least a share t of a template's n tokens shares
 o = ceil(t * n) of them, so it holds one of the template's n - o + 1 rarest (prefix filter); it needs
 o tokens of its own (length filter); and the tokens that follow the first shared one must suffice on
 both sides (positional filter). What is left is counted exactly.
@@ -10,16 +13,17 @@ both sides (positional filter). What is left is counted exactly.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechframe.llm.common import row_key
+from speechframe.llm.common import WORD, row_key
 from speechframe.llm.words import words
 
 #: Phrases whose places are counted, with their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Label to statement. A statement has at most STRIDE distinct words, so that some window of a long line holds it whole.
+#: Label to statement, of any length.
 TEMPLATES = {
     "apache-2.0": "licensed under the apache license version 2 0",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted",
@@ -28,12 +32,23 @@ TEMPLATES = {
     "cc-by-sa": "licensed under cc by sa 4 0",
     "gpl": "this work is licensed under the gnu general public license version 3",
     "mit": "released under the mit license",
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction",
     "mpl-2.0": "subject to the terms of the mozilla public license version 2 0",
     "reserved": "all rights reserved",
 }
+#: Words by which windows of the first class advance; the statements of a class have at most as many.
 STRIDE = 24
 
 
+def tokens_of(statement: str) -> list[str]:
+    return re.findall(WORD, "".join(c.lower() if c.isascii() else c for c in statement))
+
+
+def class_of(statement: str) -> int:
+    """The least STRIDE, twice, four times ... STRIDE that the statement's words don't exceed."""
+    return STRIDE << max(0, math.ceil(math.log2(max(len(tokens_of(statement)), 1) / STRIDE)))
+
+
 def _corpus_order(split: DataFrame, vocabulary: list[str]) -> list[str]:
     """The templates' words, rarest in the corpus first, ties by word; split has the documents' words as w."""
     found = split.select(F.explode(F.filter("w", lambda w: w.isin(vocabulary))).alias("word"))
@@ -56,10 +71,10 @@ def _places(w: Column, phrase: str) -> Column:
     return F.when(could, F.filter(F.sequence(F.lit(0), last), here)).otherwise(F.array().cast("array<int>"))
 
 
-def _windows(w: Column) -> Column:
-    """A line's words as blocks: whole, or in windows that overlap by half."""
-    starts = F.sequence(F.lit(1), F.size(w) - STRIDE, F.lit(STRIDE))
-    return F.when(F.size(w) <= 2 * STRIDE, F.array(w)).otherwise(F.transform(starts, lambda i: F.slice(w, i, 2 * STRIDE)))
+def _windows(w: Column, stride: int = STRIDE) -> Column:
+    """A line's or a text's words as blocks: whole, or in windows that overlap by half."""
+    starts = F.sequence(F.lit(1), F.size(w) - stride, F.lit(stride))
+    return F.when(F.size(w) <= 2 * stride, F.array(w)).otherwise(F.transform(starts, lambda i: F.slice(w, i, 2 * stride)))
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, threshold: float = 0.9) -> DataFrame:
@@ -67,37 +82,43 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     (sorted arrays), blocks (array of template label, words of the block's template tokens shared, score) and score
     (the highest containment of a template in a block; 0 where none meets the threshold).
 
-    The templates are a parameter of bounded size; the text side is never collected or broadcast. Null
-    and empty texts have no words, labels or places; repeated rows each get a row; an empty table stays
-    empty; other columns are ignored.
+    The templates are a parameter of bounded size, each of any length; the text side is never collected or broadcast.
+    Null and empty texts have no words, labels or places; very long texts have as many blocks as their words ask for, in
+    one row; repeated rows each get a row; an empty table stays empty; other columns are ignored.
     """
     phrases, templates = phrases or PHRASES, templates or TEMPLATES
-    if any(len(set(text.split())) > STRIDE for text in templates.values()):
-        raise ValueError(f"a template has more than {STRIDE} words")
     split = docs.select("doc_id", row_key().alias("row"), "text", words(F.col("text")).alias("w"))
-    order = _corpus_order(split, sorted({w for text in templates.values() for w in text.split()}))
+    order = _corpus_order(split, sorted({w for text in templates.values() for w in tokens_of(text)}))
     rank = {w: i for i, w in enumerate(order)}
     spec = []
     for label, text in sorted(templates.items()):
-        tokens = sorted({rank[w] for w in text.split()})
+        tokens = sorted({rank[w] for w in tokens_of(text)})
         need = math.ceil(threshold * len(tokens) - 1e-9)
-        spec += [(token, label, at, tokens, need) for at, token in enumerate(tokens[: len(tokens) - need + 1])]
-    prefix = sorted({order[row[0]] for row in spec})
-    table = docs.sparkSession.createDataFrame(spec, "token int, template string, at_template int, tokens array<int>, need int")
-
-    # a block as the ranks of its template words, rarest first; only blocks that hold a prefix token
-    found = F.filter(F.flatten(F.transform(F.transform(F.split("text", r"\n"), words), _windows)), lambda b: F.exists(b, lambda w: w.isin(prefix)))
-    ranks = F.transform(found, lambda b: F.array_sort(F.array_distinct(F.filter(F.transform(b, lambda w: F.array_position(F.lit(order), w).cast("int") - 1), lambda r: r >= 0))))
-    blocks = F.when(F.exists("w", lambda w: w.isin(prefix)), ranks).otherwise(F.array().cast("array<array<int>>"))
+        spec += [(token, class_of(text), label, at, tokens, need) for at, token in enumerate(tokens[: len(tokens) - need + 1])]
+    table = docs.sparkSession.createDataFrame(spec, "token int, stride int, template string, at_template int, tokens array<int>, need int")
+
+    # a block as the ranks of its template words, rarest first; only blocks that hold a prefix token of their class
+    def blocks(stride: int) -> Column:
+        prefix = sorted({order[row[0]] for row in spec if row[1] == stride})
+        every = _windows(F.col("w"), stride)
+        if stride == STRIDE:
+            every = F.concat(every, F.flatten(F.transform(F.transform(F.split("text", r"\n"), words), lambda line: _windows(line))))
+        found = F.filter(every, lambda b: F.exists(b, lambda w: w.isin(prefix)))
+        ranks = F.transform(found, lambda b: F.array_sort(F.array_distinct(F.filter(F.transform(b, lambda w: F.array_position(F.lit(order), w).cast("int") - 1), lambda r: r >= 0))))
+        classed = F.transform(F.array_distinct(ranks), lambda b: F.struct(F.lit(stride).alias("stride"), b.alias("block")))
+        return F.when(F.exists("w", lambda w: w.isin(prefix)), classed).otherwise(F.array().cast("array<struct<stride:int,block:array<int>>>"))
+
+    held = F.concat(*[blocks(stride) for stride in sorted({row[1] for row in spec})])
     named = [F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, label in enumerate(phrases.values())]
-    base = split.select("doc_id", "row", F.size("w").cast("long").alias("n_words"), *[_places(F.col("w"), p).alias(f"p{i}") for i, p in enumerate(phrases)], blocks.alias("held"))
+    base = split.select("doc_id", "row", F.size("w").cast("long").alias("n_words"), *[_places(F.col("w"), p).alias(f"p{i}") for i, p in enumerate(phrases)], held.alias("held"))
     base = base.select(
         "doc_id", "row", "n_words", F.array_sort(F.flatten(F.array(*[f"p{i}" for i in range(len(phrases))]))).alias("places"), F.array_sort(F.array_distinct(F.array_compact(F.array(*named)))).alias("base_labels"), "held"
     )
     # a first row for the document itself, then one for each token of each of its blocks
-    each = base.withColumn("block", F.explode(F.concat(F.array(F.array().cast("array<int>")), "held"))).drop("held")
+    itself = F.array(F.struct(F.lit(0).alias("stride"), F.array().cast("array<int>").alias("block")))
+    each = base.withColumn("one", F.explode(F.concat(itself, "held"))).drop("held").select("*", "one.*").drop("one")
     each = each.select("*", F.posexplode(F.when(F.size("block") > 0, F.col("block")).otherwise(F.array(F.lit(-1)))).alias("at_block", "token"))
-    joined = each.join(F.broadcast(table), "token", "left")
+    joined = each.join(F.broadcast(table), ["token", "stride"], "left")
     follow = F.least(F.size("tokens") - F.col("at_template"), F.size("block") - F.col("at_block"))
     shared = F.when((F.size("block") >= F.col("need")) & (follow >= F.col("need")), F.size(F.array_intersect("block", "tokens")))
     hit = F.when(shared >= F.col("need"), F.struct(F.col("template"), (shared / F.size("tokens")).alias("score")))
@@ -108,8 +129,8 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     return out.select("doc_id", "row", "n_words", "places", "base_labels", labels.alias("labels"), "hits", F.coalesce(F.array_max(F.transform("hits", lambda h: h["score"])), F.lit(0.0)).alias("score"))
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    found = scan(docs)
+def digest(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None) -> DataFrame:
+    found = scan(docs, phrases, templates)
     return found.select(
         "doc_id",
         "n_words",

@@ -8,10 +8,9 @@ from speechframe.llm.common import table
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
-def _values(texts: dict[str, str]) -> str:
-    """Rows (list of words, label) of a DuckDB VALUES list; phrases are keyed by text, templates by label."""
-    pairs = [(v, k) if " " in v else (k, v) for k, v in texts.items()]
-    return ", ".join(f"(string_split('{text}', ' '), '{label}')" for text, label in pairs)
+def _values(rows: list[tuple]) -> str:
+    """Rows of a DuckDB VALUES list: a text as a list of words, then the rest."""
+    return ", ".join(f"(string_split('{' '.join(licenses.tokens_of(text))}', ' '), {', '.join(map(repr, rest))})" for text, *rest in rows)
 
 
 def op1_top_k(spark, sf_dir):
@@ -91,13 +90,14 @@ SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
 FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op10_license_scan": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-phrase(words, label) AS (VALUES {_values(licenses.PHRASES)}),
-template(words, label) AS (VALUES {_values(licenses.TEMPLATES)}),
+phrase(words, label) AS (VALUES {_values(list(licenses.PHRASES.items()))}),
+template(words, label, stride) AS (VALUES {_values([(text, label, licenses.class_of(text)) for label, text in licenses.TEMPLATES.items()])}),
 place AS (SELECT doc_id, i - 1 AS p, label FROM d, unnest(range(1, len(w) + 1)) t(i), phrase WHERE list_slice(w, i, i + len(words) - 1) = words),
-line AS (SELECT doc_id, {_WORDS} AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents)),
-block AS (SELECT doc_id, w FROM line WHERE len(w) <= 48
-          UNION ALL SELECT doc_id, list_slice(w, i, i + 47) FROM line, unnest(range(1, len(w) - 23, 24)) t(i) WHERE len(w) > 48),
-hit AS (SELECT doc_id, label, len(list_intersect(w, words)) / len(list_distinct(words)) AS score FROM block, template
+line AS (SELECT doc_id, {_WORDS} AS w, {licenses.STRIDE} AS stride FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents)
+         UNION ALL SELECT doc_id, w, stride FROM d, (SELECT DISTINCT stride FROM template)),
+block AS (SELECT doc_id, w, stride FROM line WHERE len(w) <= 2 * stride
+          UNION ALL SELECT doc_id, list_slice(w, i, i + 2 * stride - 1), stride FROM line, unnest(range(1, len(w) - stride + 1, stride)) t(i) WHERE len(w) > 2 * stride),
+hit AS (SELECT doc_id, label, len(list_intersect(w, words)) / len(list_distinct(words)) AS score FROM block JOIN template USING (stride)
         WHERE len(list_intersect(w, words)) >= ceil(0.9 * len(list_distinct(words)) - 1e-9)),
 base AS (SELECT doc_id, count(*) AS n, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM place GROUP BY doc_id),
 every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM place UNION ALL SELECT doc_id, label FROM hit) GROUP BY doc_id),

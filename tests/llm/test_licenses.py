@@ -5,8 +5,6 @@ import re
 from speechframe.llm import licenses
 from tests.llm.test_decontaminate import words
 
-WINDOW = 2 * licenses.STRIDE
-
 
 def brute(docs, phrases=licenses.PHRASES, templates=licenses.TEMPLATES, threshold=0.9):
     out = []
@@ -19,12 +17,13 @@ def brute(docs, phrases=licenses.PHRASES, templates=licenses.TEMPLATES, threshol
             places += here
             base |= {label} if here else set()
         labels, score = set(base), 0.0
-        for line in (text or "").split("\n"):
-            b = words(line)
-            blocks = [b] if len(b) <= WINDOW else [b[i : i + WINDOW] for i in range(0, len(b) - licenses.STRIDE, licenses.STRIDE)]
-            for block in blocks:
-                for label, statement in templates.items():
-                    t = set(statement.split())
+        for label, statement in templates.items():
+            t, stride = set(words(statement)), licenses.STRIDE
+            while stride < len(words(statement)):
+                stride *= 2
+            lines = [words(line) for line in (text or "").split("\n")] if stride == licenses.STRIDE else []
+            for b in [w, *lines]:
+                for block in [b] if len(b) <= 2 * stride else [b[i : i + 2 * stride] for i in range(0, len(b) - stride, stride)]:
                     shared = len(t & set(block))
                     if shared >= math.ceil(threshold * len(t) - 1e-9):
                         labels.add(label)
@@ -33,9 +32,9 @@ def brute(docs, phrases=licenses.PHRASES, templates=licenses.TEMPLATES, threshol
     return sorted(out, key=str)
 
 
-def run(spark, docs):
+def run(spark, docs, **kw):
     d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'x' AS labels", "1 AS w", "2 AS token")
-    return sorted((tuple(r) for r in licenses.digest(d).collect()), key=str)
+    return sorted((tuple(r) for r in licenses.digest(d, **kw).collect()), key=str)
 
 
 def test_equals_brute_force(spark):
@@ -62,3 +61,22 @@ def test_statement_in_a_long_line_is_found(spark):
     line = " ".join(f"w{i}" for i in range(1000))
     text = re.sub("w500", "released under the MIT license", line)
     assert run(spark, [(1, text)])[0][6:] == ("mit", 1.0)
+
+
+def test_statements_that_wrap_over_lines_are_found(spark):
+    docs = [
+        (1, "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"),
+        (2, "x\nLicensed under the Apache\nLicense, Version 2.0\ny"),
+        (3, "This work is licensed under the\nGNU General Public License version 3"),
+    ]
+    assert [r[6:] for r in run(spark, docs)] == [("bsd", 1.0), ("apache-2.0", 1.0), ("gpl", 1.0)]
+
+
+def test_templates_of_any_length(spark):
+    rng = random.Random(6)
+    long = {"long": " ".join(f"t{i}" for i in range(300)), "Mixed": "Some Words, here: ÉTÉ", "short": "a b c"}
+    kept = [w for i, w in enumerate(long["long"].split()) if i % 20]
+    filler = lambda n: " ".join(f"f{rng.randrange(500)}" for _ in range(n))
+    docs = [(1, filler(700) + "\n" + " \n".join(kept) + filler(900)), (2, " ".join(kept[:250])), (3, f"{filler(30)} some WORDS here ÉTÉ"), (4, "c b\na"), (5, filler(100_000) + " " + long["long"])]
+    assert run(spark, docs, templates=long) == brute(docs, templates=long)
+    assert [r[6] for r in run(spark, docs, templates=long)] == ["long", "", "Mixed", "short", "long"]
