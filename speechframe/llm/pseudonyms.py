@@ -4,12 +4,16 @@ Each format is a domain of the form Z_a x Z_b (halves of a digit string, of an a
 400 years). A Feistel network over it, alternately left += F(right) mod a and right += F(left) mod b,
 is a permutation of the domain: equal values get equal pseudonyms in all documents, different ones
 different pseudonyms, and every pseudonym is a valid value of the same format. F is SHA-256 under the key.
+Where a value holds letters and digits, each kind is permuted under what the other holds, so letters stay
+letters, upper case stays upper case, and a part of one character is no mere shift.
 Everything is a DataFrame expression; texts without a candidate pass through untouched.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
@@ -22,7 +26,7 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Kind to pattern, in order of precedence. Quantifiers are bounded or possessive, so long runs cost linear time.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9\-])",
-    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])",
     "access key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "password": r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api_?key)[=:][A-Za-z0-9+/_\-]{6,}+",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
@@ -36,12 +40,27 @@ PATTERN = "|".join(PATTERNS.values())
 COULD = r"[0-9@]|[=:][A-Za-z0-9+/_\-]{6}|[a-f]{32}|[A-F]{32}"
 
 
-def _prf(key: str, kind: str, turn: Column, value: Column, size: Column) -> Column:
-    digest = F.sha2(F.concat_ws(":", F.lit(key), F.lit(kind), turn.cast("string"), size.cast("string"), value.cast("string")).cast("binary"), 256)
+#: Distinct characters that a hexadecimal secret holds at least; runs of fewer are padding.
+SECRET_CHARS = 4
+#: The session's setting that holds the key, and the key of runs over the given test tables, which keeps nothing secret.
+KEY_SETTING, TEST_KEY = "speechframe.pseudonym.key", "test tables only: set speechframe.pseudonym.key"
+_LETTERS, _BASE26 = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session sets; TEST_KEY, with a warning, where it sets none."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is unset: pseudonyms can be reversed", stacklevel=2)
+    return key or TEST_KEY
+
+
+def _prf(key: str, kind: str | Column, turn: Column, value: Column, size: Column) -> Column:
+    digest = F.sha2(F.concat_ws(":", F.lit(key), kind if isinstance(kind, Column) else F.lit(kind), turn.cast("string"), size.cast("string"), value.cast("string")).cast("binary"), 256)
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def _feistel(key: str, kind: str, left: Column, right: Column, a: Column, b: Column, finish) -> Column:
+def _feistel(key: str, kind: str | Column, left: Column, right: Column, a: Column, b: Column, finish) -> Column:
     """finish(struct of l and r) after the network over Z_a x Z_b; the bounds are part of what F sees."""
     start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"), a.cast("long").alias("a"), b.cast("long").alias("b"))
 
@@ -53,7 +72,7 @@ def _feistel(key: str, kind: str, left: Column, right: Column, a: Column, b: Col
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, finish)
 
 
-def _part(key: str, kind: str, text: Column, radix: int) -> Column:
+def _part(key: str, kind: str | Column, text: Column, radix: int) -> Column:
     """A string of at most 18 digits of the radix (16 beyond 10), permuted among the strings of its length."""
     n = F.length(text)
     h = F.floor(n / 2).cast("int")
@@ -63,7 +82,7 @@ def _part(key: str, kind: str, text: Column, radix: int) -> Column:
     return _feistel(key, kind, number(F.substring(text, F.lit(1), h)), number(F.substring(text, h + 1, n)), bound(h), bound(n - h), lambda s: F.concat(digits(s["l"], h), digits(s["r"], n - h)))
 
 
-def _permuted(key: str, kind: str, text: Column, radix: int) -> Column:
+def _permuted(key: str, kind: str | Column, text: Column, radix: int) -> Column:
     """A string of digits of the radix of any length, in parts that are permuted each."""
     step = 18 if radix == 10 else 16
     starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(step))
@@ -81,16 +100,30 @@ def _once(value: Column, use) -> Column:
 
 
 def _filled(shape: Column, held: str, symbols: Column) -> Column:
-    """shape with its characters of the class held replaced by the given ones, in order; null without symbols."""
+    """shape with its characters of the class held replaced by the given ones, in order and in its case; null without symbols."""
     before = lambda i: F.length(F.regexp_replace(F.substring(shape, F.lit(1), i), f"[^{held}]", ""))
 
     def each(symbols: Column, i: Column) -> Column:
-        char = F.substring(shape, i, F.lit(1))
-        return F.when(char.rlike(f"[{held}]"), F.substring(symbols, before(i), F.lit(1))).otherwise(char)
+        char, symbol = F.substring(shape, i, F.lit(1)), F.substring(symbols, before(i), F.lit(1))
+        return F.when(char.rlike(f"[{held}]"), F.when(char.rlike("[A-Z]"), F.upper(symbol)).otherwise(symbol)).otherwise(char)
 
     return _once(symbols, lambda s: F.array_join(F.transform(F.sequence(F.lit(1), F.length(shape)), lambda i: each(s, i)), ""))
 
 
+def _mixed(key: str, kind: str, value: Column, other: Column) -> Column:
+    """A value of letters, digits and signs: letters permuted under its digits and other, then digits under the new letters."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    letters = F.translate(F.lower(F.regexp_replace(value, "[^A-Za-z]", "")), _LETTERS, _BASE26)
+
+    def with_letters(new: Column) -> Column:
+        spelled = F.translate(new, _BASE26, _LETTERS)
+        shape = F.when(F.length(new) > 0, _filled(value, "A-Za-z", spelled)).otherwise(value)
+        moved = _permuted(key, F.concat_ws(":", F.lit(kind + " digits"), new, other), digits, 10)
+        return F.when(F.length(digits) > 0, _once(shape, lambda s: _filled(s, "0-9", moved))).otherwise(shape)
+
+    return _once(F.when(F.length(letters) > 0, _permuted(key, F.concat_ws(":", F.lit(kind), digits, other), letters, 26)).otherwise(F.lit("")), with_letters)
+
+
 def _luhn_sum(digits: Column, doubled_from_end: int) -> Column:
     """The Luhn sum; doubled_from_end 1 doubles every second digit from the one before the last, 0 from the last."""
     n = F.length(digits)
@@ -150,19 +183,17 @@ def pseudonym(hit: Column, key: str) -> Column:
     """struct(kind, value): the pseudonym of a candidate, or nulls where validation fails."""
     digits = F.regexp_replace(hit, "[^0-9]", "")
     code = F.when(hit.startswith("+"), F.length(F.regexp_extract(hit, r"^\+([0-9]{1,3})[ .\-(]", 1))).otherwise(0)
-    local, domain = F.lower(F.split_part(hit, F.lit("@"), F.lit(1))), F.lower(F.split_part(hit, F.lit("@"), F.lit(2)))
-    host = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1)
-    symbols = lambda s: F.regexp_replace(s, "[^0-9a-z]", "")
-    shifted = lambda s: F.when(F.length(symbols(s)) > 0, _filled(s, "0-9a-z", _permuted(key, "email", symbols(s), 36))).otherwise(s)
-    email = F.concat(shifted(local), F.lit("@"), shifted(host), F.regexp_extract(domain, r"(\.[^.]*)$", 1))
+    local, domain = F.split_part(hit, F.lit("@"), F.lit(1)), F.split_part(hit, F.lit("@"), F.lit(2))
+    host, top = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1), F.regexp_extract(domain, r"(\.[^.]*)$", 1)
+    email = _once(_mixed(key, "email", local, F.lower(host)), lambda new: F.concat(new, F.lit("@"), _mixed(key, "host", host, F.lower(new)), top))
     hexed = _permuted(key, "secret", F.lower(hit), 16)
     sign = F.regexp_extract(hit, r"^(.*?[=:])", 1)
     word = F.regexp_replace(hit, r"^.*?[=:]", "")
     options = {
         "email": (hit.contains("@"), email),
-        "secret": (hit.rlike("^[0-9A-Fa-f]{32,}$"), F.when(hit.rlike("[A-F]"), F.upper(hexed)).otherwise(hexed)),
+        "secret": (hit.rlike("^[0-9A-Fa-f]{32,}$"), F.when(F.size(F.array_distinct(F.regexp_extract_all(hit, F.lit("."), F.lit(0)))) >= SECRET_CHARS, F.when(hit.rlike("[A-F]"), F.upper(hexed)).otherwise(hexed))),
         "access key": (hit.rlike("^AKIA[0-9A-Z]{16}$"), F.concat(F.lit("AKIA"), F.upper(_permuted(key, "access key", F.lower(F.substring(hit, 5, 16)), 36)))),
-        "password": (hit.rlike("^[A-Za-z_]+[=:]"), F.concat(sign, _chunked(word, lambda w: F.when(w.rlike("[0-9A-Za-z]"), _filled(w, "0-9A-Za-z", _permuted(key, "password", symbols(F.lower(w)), 36))).otherwise(w)))),
+        "password": (hit.rlike("^[A-Za-z_]+[=:]"), F.concat(sign, _chunked(word, lambda w: _mixed(key, "password", w, F.lit(""))))),
         "ip": (hit.rlike(r"^[0-9]+(\.[0-9]+){3}$"), _ip(key, hit)),
         "date": (hit.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})$"), _date(key, hit)),
         "ssn": (hit.rlike(r"^\d{3}-\d{2}-\d{4}$"), _filled(hit, "0-9", _ssn(key, digits))),
@@ -175,16 +206,19 @@ def pseudonym(hit: Column, key: str) -> Column:
     return F.get(F.transform(F.array(value), lambda v: F.struct(F.when(v.isNotNull(), kind).alias("kind"), v.alias("value"))), 0)
 
 
-def pseudonymise(df: DataFrame, text_col: str = "text", key: str = "speechframe") -> DataFrame:
+def pseudonymise(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """df with the private values of text_col replaced, and private_kinds (array<string>: the kind of each replaced value,
-    in order of place) added.
-
-    Replaced are e-mail addresses, hexadecimal secrets, access keys, passwords in assignments (letters
-    become lower case, so values that differ in case alone are merged), IPv4 addresses, phone numbers, and, if they are
-    valid, dates, social security numbers and card numbers (Luhn). What fails validation stays as it is.
-    A map over rows: no shuffle, whole texts. Null texts stay null, with no kinds; repeated rows are
-    each replaced alike; an empty table stays empty; an input column named private_kinds is replaced.
+    in order of place) added. Whoever knows the key can reverse the pseudonyms, so there is no default.
+
+    Replaced are e-mail addresses, access keys, passwords in assignments, IPv4 addresses, phone numbers,
+    and, if they are valid, hexadecimal secrets (SECRET_CHARS distinct characters), dates, social
+    security numbers and card numbers (Luhn). What fails validation stays as it is. Case is kept in its
+    places, so values that differ in case alone get pseudonyms that do.
+    A map over rows: no shuffle, whole texts, very long ones in linear time. Null texts stay null, with no kinds; repeated
+    rows are each replaced alike; an empty table stays empty; an input column named private_kinds is replaced.
     """
+    if not key:
+        raise ValueError("the key is empty")
     df = df.drop("private_kinds")
     text = F.col(text_col)
     could = text.rlike(COULD)
@@ -197,5 +231,5 @@ def pseudonymise(df: DataFrame, text_col: str = "text", key: str = "speechframe"
     return found.withColumns({text_col: F.when(F.size("__hits") > 0, rebuilt).otherwise(text), "private_kinds": F.coalesce(kinds, F.array().cast("array<string>"))}).drop("__hits")
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    return pseudonymise(docs.select("doc_id", "text")).select("doc_id", "text", F.size("private_kinds").cast("long").alias("n_private"), F.array_join(F.array_sort(F.array_distinct("private_kinds")), ",").alias("kinds"))
+def digest(docs: DataFrame, key: str) -> DataFrame:
+    return pseudonymise(docs.select("doc_id", "text"), key).select("doc_id", "text", F.size("private_kinds").cast("long").alias("n_private"), F.array_join(F.array_sort(F.array_distinct("private_kinds")), ",").alias("kinds"))

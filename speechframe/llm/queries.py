@@ -26,7 +26,7 @@ def op3_quality(spark, sf_dir):
 
 
 def op4_pseudonyms(spark, sf_dir):
-    return pseudonyms.digest(table(spark, sf_dir, "documents"))
+    return pseudonyms.digest(table(spark, sf_dir, "documents"), pseudonyms.session_key(spark))
 
 
 def op5_exact_substrings(spark, sf_dir):

@@ -46,6 +46,15 @@ def fill(shape, held, symbols):
     return "".join(next(symbols) if re.match(f"[{held}]", c) else c for c in shape)
 
 
+def mixed(kind, value, other):
+    letters, digits = re.sub("[^a-z]", "", value.lower()), re.sub("[^0-9]", "", value)
+    base26 = letters.translate(str.maketrans("abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"))
+    base26 = permuted(f"{kind}:{digits}:{other}", base26, 26) if letters else ""
+    new = fill(value, "A-Za-z", base26.translate(str.maketrans("0123456789abcdefghijklmnop", "abcdefghijklmnopqrstuvwxyz")))
+    new = "".join(n.upper() if v.isupper() else n for n, v in zip(new, value, strict=True))
+    return fill(new, "0-9", permuted(f"{kind} digits:{base26}:{other}", digits, 10)) if digits else new
+
+
 def moved(day):
     span, base = pseudonyms.DATE_A * pseudonyms.DATE_B, datetime.date(1600, 1, 1)
     off = (day - base).days
@@ -56,17 +65,17 @@ def moved(day):
 def brute(hit):
     digits = re.sub("[^0-9]", "", hit)
     if "@" in hit:
-        local, domain = hit.lower().split("@")
+        local, domain = hit.split("@")
         host, top = domain.rsplit(".", 1)
-        shifted = lambda s: fill(s, "0-9a-z", permuted("email", re.sub("[^0-9a-z]", "", s), 36))
-        return shifted(local) + "@" + shifted(host) + "." + top
+        local = mixed("email", local, host.lower())
+        return local + "@" + mixed("host", host, local.lower()) + "." + top
     if re.fullmatch("[0-9a-fA-F]{32,}", hit):
         out = permuted("secret", hit.lower(), 16)
         return out.upper() if re.search("[A-F]", hit) else out
     if hit.startswith("AKIA"):
         return "AKIA" + permuted("access key", hit[4:].lower(), 36).upper()
     if m := re.fullmatch(r"(\w+[=:])(.*)", hit):
-        return m[1] + fill(m[2], "0-9A-Za-z", permuted("password", re.sub("[^0-9a-z]", "", m[2].lower()), 36))
+        return m[1] + "".join(mixed("password", m[2][i : i + 64], "") for i in range(0, len(m[2]), 64))
     if re.fullmatch(r"\d+(\.\d+){3}", hit):
         a, b, c, d = map(int, hit.split("."))
         left, right = feistel("ip", a * 256 + b, c * 256 + d, 65536, 65536)
@@ -96,7 +105,7 @@ CASES = [
 
 def out_of(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    return [(r.text, r.private_kinds) for r in pseudonyms.pseudonymise(df).orderBy("doc_id").collect()]
+    return [(r.text, r.private_kinds) for r in pseudonyms.pseudonymise(df, KEY).orderBy("doc_id").collect()]
 
 
 @pytest.mark.parametrize("around", ["{}", "see {}, and {}!", "é{} {}é\n{}", "x {}### {}%%%"])
@@ -136,8 +145,8 @@ def test_odd_rows(spark):
     assert got[3] == (long.replace("10.0.0.1", brute("10.0.0.1")), ["ip"])
     assert got[4] == ("1.2.3.4.5 300.1.1.1 12345", [])
     df = spark.createDataFrame([(1, "1.2.3.4", "q")], "doc_id long, text string, private_kinds string")
-    assert pseudonyms.pseudonymise(df).columns == ["doc_id", "text", "private_kinds"]
-    assert pseudonyms.digest(df.limit(0)).count() == 0
+    assert pseudonyms.pseudonymise(df, KEY).columns == ["doc_id", "text", "private_kinds"]
+    assert pseudonyms.digest(df.limit(0), KEY).count() == 0
 
 
 def test_values_without_digits_are_replaced(spark):
@@ -152,3 +161,32 @@ def test_values_without_digits_are_replaced(spark):
 def test_long_passwords_are_replaced_whole(spark, n):
     case = "token:" + ("aB3dE6gH" * (n // 8 + 1))[:n]
     assert out_of(spark, [f"see {case} now"]) == [(f"see {brute(case)} now", ["password"])]
+
+
+@pytest.mark.parametrize("n", [64, 65, 128, 1000])
+def test_long_hexadecimal_secrets_are_replaced_whole(spark, n):
+    case = hashlib.sha512(b"x").hexdigest() * 8
+    (got, kinds), (upper, _) = out_of(spark, [f"see {case[:n]} now", case[:n].upper()])
+    assert kinds == ["secret"] and got == f"see {brute(case[:n])} now" and upper == got[4:-4].upper()
+
+
+def test_case_and_classes_are_kept_and_values_stay_apart(spark):
+    values = ["AbC123xyz", "aBc123XYZ", "abc123xyz", "ABC-12_x9", "A1b2C3", "zzzzzz", "999999"]
+    got = [t[9:] for t, _ in out_of(spark, [f"password={v}" for v in values])]
+    shape = lambda v: re.sub("[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", v)))
+    assert [shape(g) for g in got] == [shape(v) for v in values] and len(set(got)) == len(values)
+    assert got[0].lower() == got[1].lower() == got[2]
+    every = [f"{a}{b}@x1.org" for a in "abcdefghijklmnopqrstuvwxyz" for b in "0123456789"]
+    pseudo = [t for t, _ in out_of(spark, every)]
+    assert len(set(pseudo)) == 260 and all(re.fullmatch(r"[a-z][0-9]@[a-z][0-9]\.org", t) for t in pseudo)
+    moves = {(ord(t[0]) - ord(e[0])) % 26 for e, t in zip(every, pseudo, strict=True)}
+    assert len(moves) > 3
+
+
+def test_a_key_is_needed(spark):
+    df = spark.createDataFrame([(1, "1.2.3.4")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        pseudonyms.pseudonymise(df, "")
+    with pytest.warns(UserWarning):
+        assert pseudonyms.session_key(spark) == pseudonyms.TEST_KEY
+    assert pseudonyms.pseudonymise(df, "one").first().text != pseudonyms.pseudonymise(df, "two").first().text
