@@ -32,7 +32,7 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def replace_private_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms in place of private values."""
-    replaced = pseudonyms.pseudonymise(docs)
+    replaced = pseudonyms.pseudonymise(docs, pseudonyms.session_key(spark))
     return replaced.withColumn("n_chars", F.when(F.size("private_kinds") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).drop("private_kinds")
 
 
