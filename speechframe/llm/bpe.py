@@ -236,6 +236,10 @@ class Utf8Stream:
         return rest
 
 
+#: Ids that are decoded at a time.
+DECODE_IDS = 4096
+
+
 class BpeDecoder:
     """Packed ids to bytes, with the UTF-8 machine run over the tokens that split characters."""
 
@@ -263,24 +267,58 @@ class BpeDecoder:
         return to
 
     def decode(self, packed: bytes) -> tuple[bytes, bool]:
-        """The bytes, and whether they are whole UTF-8 characters from first to last."""
-        ids = np.frombuffer(packed, dtype="<u4")
-        state, seen = 0, -2
-        for at in np.flatnonzero(~self.whole[ids]).tolist():
-            if state and at != seen + 1:
-                state = 8
-            if state == 8:
-                break
-            state, seen = self._move(state, int(ids[at])), at
-        token = self.token
-        return b"".join([token[i] for i in ids.tolist()]), state == 0
+        """The bytes, and whether they are whole UTF-8 characters from first to last: decoded incrementally, DECODE_IDS at a
+        time, each piece cut between characters."""
+        ids, run = np.frombuffer(packed, dtype="<u4"), DecodeRun(self)
+        pieces = [run.feed(ids[at : at + DECODE_IDS]) for at in range(0, len(ids), DECODE_IDS)]
+        pieces.append(run.close())
+        return b"".join(pieces), run.whole
 
     def stream(self, packed_chunks: Iterable[bytes]) -> Iterator[str]:
         """The text of a stream of packed ids, chunk by chunk, cut only between characters."""
-        utf8 = Utf8Stream()
+        run, utf8 = DecodeRun(self), Utf8Stream()
         for chunk in packed_chunks:
-            yield utf8.feed(self.decode(chunk)[0])
-        yield utf8.close()
+            data = run.feed(np.frombuffer(chunk, dtype="<u4"))
+            yield data.decode() if run.whole else utf8.feed(data)
+        yield utf8.feed(run.close()) + utf8.close()
+
+
+class DecodeRun:
+    """The UTF-8 machine over a stream of ids: feed() gives the bytes of the tokens up to the last one that ends a character;
+    once no continuation can be well-formed (whole is False) it gives all there is."""
+
+    def __init__(self, decoder: BpeDecoder):
+        self.decoder, self.state, self.whole, self.held = decoder, 0, True, b""
+
+    def feed(self, ids: np.ndarray) -> bytes:
+        decoder, token = self.decoder, self.decoder.token
+        tokens, cut, seen = [token[i] for i in ids.tolist()], len(ids), -1
+        # only tokens that split characters move the machine; others need it at rest
+        open_from = 0 if self.state else len(ids)
+        for at in np.flatnonzero(~decoder.whole[ids]).tolist() if self.whole else ():
+            if self.state and at != seen + 1:
+                break
+            if not self.state:
+                open_from = at
+            self.state, seen = decoder._move(self.state, int(ids[at])), at
+            if self.state == 8:
+                break
+        if self.state == 8 or self.state and seen + 1 < len(ids):
+            self.whole, self.state = False, 0
+        if self.whole and self.state:
+            cut = open_from
+        held, self.held = self.held, b""
+        if self.whole and self.state and cut == 0:
+            self.held = held + b"".join(tokens)
+            return b""
+        self.held = b"".join(tokens[cut:])
+        return held + b"".join(tokens[:cut])
+
+    def close(self) -> bytes:
+        if self.held:
+            self.whole = False
+        held, self.held = self.held, b""
+        return held
 
 
 _encoders: dict[tuple[str, str], BpeEncoder] = {}
@@ -372,5 +410,5 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
         "n_tokens",
         F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.encode(F.coalesce(text_col, F.lit("")), "UTF-8")).alias("same_text"),
+        (F.col("decoded_whole") & (F.col("decoded") == F.encode(F.coalesce(text_col, F.lit("")), "UTF-8"))).alias("same_text"),
     )

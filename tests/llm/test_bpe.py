@@ -82,3 +82,29 @@ def test_query_equals_the_library(spark, library):
         assert r.n_tokens == len(want) and r.same_text
         assert r.ids_sha256 == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((docs[r.doc_id] or "").encode()).hexdigest()
+
+
+def test_pieces_join_to_the_bytes_however_ids_are_cut(ranks, monkeypatch):
+    rng = random.Random(17)
+    decoder = bpe.BpeDecoder(ranks)
+    single = [ranks[bytes([b])] for b in range(256)]
+    texts = ["日本語 é 😀 plain text", "", "x" * 50, "😀" * 30]
+    for text in [*texts, *(bytes(rng.randrange(256) for _ in range(40)) for _ in range(60)), "ab".encode() + b"\xf0\x9f", b"\x80a"]:
+        data = text if isinstance(text, bytes) else text.encode()
+        packed = np.array([single[b] for b in data], dtype="<u4").tobytes()
+        try:
+            data.decode()
+            whole = True
+        except UnicodeDecodeError:
+            whole = False
+        for size in (1, 2, 3, 7, 4096):
+            monkeypatch.setattr(bpe, "DECODE_IDS", size)
+            assert decoder.decode(packed) == (data, whole), (data, size)
+            chunks = [packed[a : a + 4 * size] for a in range(0, len(packed), 4 * size)]
+            run = bpe.DecodeRun(decoder)
+            pieces = [run.feed(np.frombuffer(c, "<u4")) for c in chunks]
+            if whole:
+                assert all(p.decode() is not None for p in pieces) and b"".join(pieces) == data
+                assert "".join(decoder.stream(chunks)) == data.decode()
+            else:
+                assert "".join(decoder.stream(chunks)) == data.decode(errors="replace")
