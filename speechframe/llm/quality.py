@@ -21,8 +21,9 @@ from speechframe.llm.shingles import text_chunks, words_of
 
 #: Labelled documents that the classifier is fitted on, at most; those with the least hash of their doc_id.
 SAMPLE_ROWS = 20_000
-#: Words of a lexicon, the documents that must hold a word of it, and what its log-odds must exceed by two standard errors.
-LEXICON_WORDS, LEXICON_DOCS, LEXICON_ODDS = 4096, 8, 0.7
+#: The sampled documents that must hold a word of a lexicon, and what its log-odds must exceed by two standard errors. The
+#: sample bounds the lexicon: no other limit is set.
+LEXICON_DOCS, LEXICON_ODDS = 8, 0.7
 #: Log-odds from which a word counts as strong.
 STRONG = 2.5
 #: Rows of the path table up to which it is broadcast (some 60 bytes a row); beyond, both sides are shuffled.
@@ -140,7 +141,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     """The classifier, fitted on at most sample_rows labelled documents: word lexicons on one half, weights on the other."""
     order = F.xxhash64("doc_id")
     sample = labelled(labels).orderBy(order, "doc_id").limit(sample_rows)
-    rows = written(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2))), "labelled")
+    # of rows that share a sampled doc_id one, whichever text has the least hash
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    kept = found.groupBy("doc_id").agg(F.min_by("text", row_key()).alias("text"), *[F.first(t).alias(t) for t in TARGETS])
+    rows = written(kept.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2))), "labelled")
 
     def word_counts(batches):
         for batch in batches:
@@ -163,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         hit, miss = F.col(target) + 0.5, F.col("n") - F.col(target) + 0.5
         odds = F.log(hit / miss) - float(np.log(total[target] / (total["n"] - total[target])))
         sure = F.abs(odds) - 2 * F.sqrt(1 / hit + 1 / miss)
-        picked = counted.select("word", odds.alias("odds"), sure.alias("sure")).where(F.col("sure") > LEXICON_ODDS).orderBy(F.desc("sure"), "word").limit(LEXICON_WORDS).collect()
+        picked = counted.select("word", odds.alias("odds"), sure.alias("sure")).where(F.col("sure") > LEXICON_ODDS).collect()
         words = np.array([r["word"] for r in picked], dtype=np.int64).view(np.uint64)
         by = np.argsort(words)
         model.words[target], model.odds[target] = words[by], np.array([r["odds"] for r in picked])[by]
@@ -209,18 +213,19 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^/?#]*)", 1)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = 0.5, sample_rows: int = SAMPLE_ROWS, fitted_on: DataFrame | None = None) -> DataFrame:
     """Per document row: doc_id, row, host, path, evidence (the classifier's probability of a good document), host_rate
     and path_rate (posterior means, without the document itself), score (posterior probability) and keep.
 
     By default the host is the column source and the path the column lang; with URLs, pass url_host()
-    and url_path(). Null hosts and paths form groups of their own. Null texts count as empty and are
+    and url_path(). The classifier is fitted on docs, or on fitted_on, another table that the labels are of; then docs
+    themselves have none. Null hosts and paths form groups of their own. Null texts count as empty and are
     scored as such; repeated rows are each scored; without labels all evidence is even and every row is
-    kept; an empty table stays empty; other columns are ignored. Rates cover all rows; groups of any
-    size are summed before the shuffle.
+    kept; an empty table stays empty; other columns are ignored; whole texts count, very long ones in linear time. Rates
+    cover all rows; groups of any size are summed before the shuffle.
     """
     small_batches(docs.sparkSession)
-    model = fit(docs, labels, sample_rows)
+    model = fit(docs if fitted_on is None else fitted_on, labels, sample_rows)
     keyed = docs.select(
         "doc_id", "text", row_key().alias("row"), F.coalesce((host if host is not None else F.col("source")).cast("string"), F.lit("")).alias("host"), F.coalesce((path if path is not None else F.col("lang")).cast("string"), F.lit("")).alias("path")
     )
@@ -233,7 +238,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, host: Column | None = Non
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = keyed.mapInArrow(evidence, f"doc_id {kind}, row long, host string, path string, evidence double")
-    truth = labelled(labels).select("doc_id", ((F.col("low") == 0) & (F.col("toxic") == 0)).cast("double").alias("label"))
+    truth = labelled(labels if fitted_on is None else labels.limit(0)).select("doc_id", ((F.col("low") == 0) & (F.col("toxic") == 0)).cast("double").alias("label"))
     rows = written(scored.join(truth, "doc_id", "left").withColumn("y", F.coalesce("label", "evidence")), "evidence")
 
     paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
@@ -264,5 +269,13 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return without_rows(docs, written(quality_scores(docs, labels).where(~F.col("keep")).select("doc_id", "row"), "rejected"))
 
 
+def page_digest(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Scores of web pages (page_id, url, html) by hosts and first path segments of their URLs, under the classifier of docs."""
+    text = F.regexp_replace("html", r"(?is)<(script|style)\b[^>]*+>.*?</\1>|<[^>]*+>", " ")
+    rows = pages.select(F.col("page_id").alias("doc_id"), text.alias("text"), "url")
+    scores = quality_scores(rows, labels, url_host(F.col("url")), url_path(F.col("url")), fitted_on=docs)
+    return scores.drop("row").withColumnRenamed("doc_id", "page_id")
+
+
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return quality_scores(docs, labels).drop("row")

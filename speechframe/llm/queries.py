@@ -25,6 +25,10 @@ def op3_quality(spark, sf_dir):
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def quality_of_pages(spark, sf_dir):
+    return quality.page_digest(*(table(spark, sf_dir, name) for name in ("pages", "documents", "labels")))
+
+
 def op4_pseudonyms(spark, sf_dir):
     return pseudonyms.digest(table(spark, sf_dir, "documents"), pseudonyms.session_key(spark))
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_token_counts": op9_token_counts,
     "op10_license_scan": op10_license_scan,
+    "quality_of_pages": quality_of_pages,
 }
 
 ORACLES = {

@@ -83,3 +83,22 @@ def test_odd_rows(spark):
 def test_url_parts(spark):
     row = spark.createDataFrame([("https://A.example.com/news/x?y", "mailto:x")], "a string, b string").select(quality.url_host(F.col("a")), quality.url_path(F.col("a")), quality.url_host(F.col("b"))).first()
     assert tuple(row) == ("a.example.com", "news", "")
+
+
+def test_a_repeated_sampled_document_is_fitted_once(spark):
+    docs, labels = corpus(400)
+    known = spark.createDataFrame(labels, LABELS)
+    one = quality.fit(spark.createDataFrame(docs, SCHEMA), known)
+    many = quality.fit(spark.createDataFrame(docs + [docs[7]] * 500, SCHEMA), known)
+    assert all(np.allclose(one.weights[t], many.weights[t]) for t in quality.TARGETS if t in one.weights) and one.weights.keys() == many.weights.keys()
+
+
+def test_pages_are_scored_by_host_and_path(spark):
+    docs, labels = corpus(600)
+    bad = "IDIOT!! SCUM!! " * 30
+    pages = [(i, f"http://{'bad' if i % 2 else 'good'}.example.com/{i % 3}/x", f"<p>{bad if i % 2 else docs[i][1]}</p><script>{bad}</script>") for i in range(0, 200)]
+    pages += [(900, None, None), (901, "no url", ""), (902, "http://good.example.com/", "<p>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rows = {r.page_id: r for r in quality.page_digest(df, spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, LABELS)).collect()}
+    assert len(rows) == 203 and (rows[1].host, rows[1].path, rows[901].host) == ("bad.example.com", "1", "")
+    assert np.mean([rows[i].host_rate for i in range(1, 199, 2)]) < 0.3 < 0.6 < np.mean([rows[i].host_rate for i in range(0, 200, 2)])
