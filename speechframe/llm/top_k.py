@@ -48,10 +48,24 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
 def _packed(df: DataFrame, rows: int, lists: bool) -> DataFrame:
     """Blobs of at most rows vectors: number of the blob's first row, ids, rows' own numbers, matrix and its width, sorted lists."""
 
-    def pack(batches):
+    def filled(batches):
+        """Parts of exactly rows rows, whatever the size of Arrow's batches; the last may be smaller."""
+        held, n = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            while batch.num_rows:
+                part = batch.slice(0, rows - n)
+                batch = batch.slice(part.num_rows)
+                held.append(part)
+                n += part.num_rows
+                if n == rows:
+                    yield pa.Table.from_batches(held).combine_chunks()
+                    held, n = [], 0
+        if n:
+            yield pa.Table.from_batches(held).combine_chunks()
+
+    def pack(batches):
+        for table in filled(batches):
+            for part in table.to_batches():
                 matrix = _matrix(pa.concat_arrays([part.column(2)]))
                 order = np.argsort(matrix, axis=0, kind="stable").astype(np.uint16) if lists else np.zeros(0, np.uint16)
                 own = part.column(1).to_numpy(zero_copy_only=False)
@@ -101,6 +115,7 @@ class Shard:
         self.most = int(np.abs(matrix.astype(np.int64)).max(initial=0))
         self.exact, self.matrix = matrix, matrix.astype(np.float64)
         self.sorted = np.take_along_axis(self.matrix, lists.astype(np.int64), axis=0)
+        self.scored = 0  # pairs of a query and a vector it met
         self.by_own = np.argsort(own)
         self.own = own[self.by_own]
 
@@ -136,6 +151,7 @@ class Shard:
             column[met] = np.arange(len(met))
             for a in range(0, len(active), QUERY_ROWS) if len(met) else ():
                 rows = active[a : a + QUERY_ROWS]
+                self.scored += len(rows) * len(met)
                 scores = (q[rows] @ self.exact[met].T.astype(np.int64)) if exact else wide[rows] @ self.matrix[met].T
                 mine = np.flatnonzero((itself[rows] >= 0) & (column[itself[rows]] >= 0))
                 scores[mine, column[itself[rows[mine]]]] = Best.NONE
@@ -159,7 +175,8 @@ def top_k(df: DataFrame, queries: Callable[[Column], Column], k: int = 20, id_co
     padded with zeros; fewer than k other rows are all returned. Repeated rows are rows of their own,
     as queries and as candidates; a null vec_id is ranked behind ties and is no query; an empty table
     has no result; other columns are ignored. Scores must fit 64 bits. Work is queries times rows, in
-    pairs of a block and a shard that are dealt over a grid; each list is read no further than its bound asks.
+    pairs of a block and a shard that are dealt over a grid; each list is read no further than its bound asks. The bound
+    is a sum over dimensions: it stops early where few of them carry the scores, and late where all do (figures in README).
     """
     keyed = written(scaled_vectors(df, id_col, vector_col, scale).withColumn("own", F.monotonically_increasing_id()), "vectors")
     asked = keyed.where(F.col("id").isNotNull() & queries(F.col("id")))

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from speechframe.llm import top_k
 
@@ -49,3 +50,36 @@ def test_bound_stops_early():
     best = top_k.Best(1, 10)
     shard.search(np.array([[1, 2]]), np.array([-1]), best)
     assert sum(reads) < 200 and best.scores[0].tolist() == sorted((matrix @ [1, 2]).tolist(), reverse=True)[:10]
+
+
+def scored_share(matrix, queries, k=20):
+    """The k best of each query, walked one by one, and the share of all vectors that a query scored."""
+    order = np.argsort(matrix, axis=0, kind="stable").astype(np.uint16)
+    shard, found = top_k.Shard(np.arange(len(matrix)), np.arange(len(matrix)), matrix, order), []
+    for q in queries:
+        best = top_k.Best(1, k)
+        shard.search(q[None, :], np.array([-1]), best)
+        found.append(best.scores[0].tolist())
+    return found, shard.scored / (len(queries) * len(matrix))
+
+
+def test_scored_vectors_in_64_dimensions():
+    rng = np.random.default_rng(5)
+    plain = rng.integers(-64, 65, (4096, 64))
+    steep = (rng.standard_normal((4096, 64)) * 400 / (1 + np.arange(64)) ** 2).astype(np.int64)  # few dimensions carry the scores
+    for matrix, most in ((plain, 1.0), (steep, 0.5)):
+        queries = matrix[:8]
+        found, share = scored_share(matrix, queries)
+        assert found == [sorted((matrix @ q).tolist(), reverse=True)[:20] for q in queries]
+        assert share <= most, share
+    assert scored_share(plain, plain[:8])[1] > 0.9  # stated in the README: all dimensions count alike here, and the bound prunes nothing
+
+
+def test_shards_are_full_whatever_the_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        df = top_k.scaled_vectors(spark.createDataFrame([(i, [float(i), 1.0]) for i in range(950)], "i long, x array<double>").coalesce(1), "i", "x").withColumn("own", F.col("id"))
+        sizes = sorted(len(r.ids) // 8 for r in top_k._packed(df, 300, True).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sizes == [50, 300, 300, 300]
