@@ -74,11 +74,13 @@ HOT_SHARE, HOT_LEAST = 10_000, 256
 def joined_on(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
     """rows joined with keyed, which has a row a key with n, the key's number of rows; total is the sum of all n.
 
-    Keys of many rows would each fill one task, so they are broadcast: as their n exceed total / HOT_SHARE
+    keyed is read several times, so a table of written() suits. Keys of many rows would each fill one task, so they are broadcast: as their n exceed total / HOT_SHARE
     and HOT_LEAST, there are at most HOT_SHARE of them. The others are shuffled.
     """
     most = max(HOT_LEAST, total // HOT_SHARE)
     hot = keyed.where(F.col("n") > most)
+    if hot.isEmpty():
+        return rows.join(keyed, key)
     cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(F.col("n") <= most), key)
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 

@@ -11,14 +11,14 @@ from speechframe.llm.common import drop_written, joined_on, written
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Each node links its larger neighbours to the least of its neighbourhood; n is the number of edges."""
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
+    least = written(both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"), F.count("*").alias("n")), "least")
     return joined_on(both.where("v > u"), least, "u", 2 * n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Each node links its smaller neighbours, and itself, to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    least = written(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
     kept = joined_on(down, least, "u", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return kept.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -39,7 +39,9 @@ def components(edges: DataFrame) -> DataFrame:
     before = _state(edges)
     while before[0]:
         # a large star has no more edges than there were
-        after = written(_small_star(_large_star(edges, before[0]), before[0]), "edges")
+        large = written(_large_star(edges, before[0]), "large")
+        after = written(_small_star(large, before[0]), "edges")
+        drop_written(large)
         now = _state(after)
         drop_written(edges)
         edges = after

@@ -30,7 +30,7 @@ BANDS, ROWS = 32, 4
 #: MinHash values compared between two prunings, and values of a sketch: a byte of every second one.
 STEP, SKETCH = 16, 64
 #: Rows of classes in bands that one task compares at a time, and pairs of them.
-SLOT_ROWS, SLOT_PAIRS = 20_000, 1 << 18
+SLOT_ROWS, SLOT_PAIRS = 4_000, 1 << 18
 #: Classes and shingles of a block; a pair of blocks is compared in one task.
 BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 1 << 20
 #: Rows of candidate classes up to which they are broadcast (some 80 bytes a row); beyond, both sides are shuffled.
@@ -192,7 +192,7 @@ def _candidates(classes: DataFrame, threshold: float, tolerance: float) -> DataF
     least = least_matches(threshold, tolerance, SKETCH, STEP)
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("signature", b * width + 1, width)) for b in range(BANDS)])
     banded = classes.select("class", F.explode(keys).alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     met = joined_on(banded, shared, "key", BANDS * classes.count())
     rows = written(met.join(classes.select("class", "sketch"), "class").select("key", "n", "class", "sketch"), "bands")
     large = F.col("n") > BLOCK_CLASSES
