@@ -18,9 +18,10 @@ def previous_open_items(meetings: DataFrame, heading: str, exclude: str | None =
     m = meetings.where("summary_md IS NOT NULL")
     if exclude is not None:
         m = m.where(F.col("meeting_dir") != exclude)
-    rows = m.select("meeting_dir", profile_of_meeting(F.col("meta_md"), F.col("summary_md")).alias("profile"), section_body(F.col("summary_md"), heading).alias("items")).where("profile IS NOT NULL")
-    best = rows.groupBy("profile").agg(F.max_by(F.struct("meeting_dir", "items"), "meeting_dir").alias("b"))
-    return best.select("profile", "b.*")
+    rows = m.select("meeting_dir", "summary_md", profile_of_meeting(F.col("meta_md"), F.col("summary_md")).alias("profile")).where("profile IS NOT NULL")
+    # the latest first, whose summary alone is read line by line
+    best = rows.groupBy("profile").agg(F.max_by(F.struct("meeting_dir", "summary_md"), "meeting_dir").alias("b"))
+    return best.select("profile", "b.meeting_dir", section_body(F.col("b.summary_md"), heading).alias("items"))
 
 
 def split_quality(summaries: DataFrame) -> DataFrame:

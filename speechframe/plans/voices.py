@@ -433,7 +433,7 @@ def meeting_pipeline(spark, sf_dir):
 
     s = V.segments(spark, sf_dir).withColumn("start", F.col("start") / 1000).withColumn("end", F.col("end") / 1000)
     t = V.turns(spark, sf_dir).withColumn("start", F.col("start") / 1000).withColumn("end", F.col("end") / 1000)
-    return process(s, t, V.dictionary(spark), lambda: first_sentences, max_tokens=2000, overlap_tokens=200).summaries
+    return process(s, t, V.dictionary(spark), lambda: first_sentences, max_tokens=2000, overlap_tokens=200, threshold=4000).summaries
 
 
 def _confirmed(spark, sf_dir):
@@ -448,7 +448,7 @@ def _confirmed(spark, sf_dir):
 
 @register(
     "j08_confirm_speaker",
-    V.sql("prints", """SELECT 'id-' || name AS id, name, least(10, count(*) + CASE WHEN name = 'p1' THEN 1 ELSE 0 END) AS sample_count FROM prints WHERE name < 'p2' GROUP BY name
+    V.sql("prints", """SELECT 'id-' || name AS id, name, CASE WHEN name = 'p1' THEN least(10, count(*) + 1) ELSE count(*) END AS sample_count FROM prints WHERE name < 'p2' GROUP BY name
 UNION ALL SELECT DISTINCT md5('speaker:name ' || name), 'name ' || name, 1 FROM prints WHERE name > 'p0' AND name < 'p4'"""),
 )
 def confirm_speaker(spark, sf_dir):

@@ -146,3 +146,73 @@ def test_services(spark, tmp_path):
     side = spark.createDataFrame([("x", "m", None, None, None)], "path string, claude_model string, profile string, asr_engine string, transcript_path string")
     ok = services.finish_session(spark, str(tmp_path / "inbox" / ".session-x"), str(tmp_path / "inbox"), "x", lambda a, b: put(tmp_path / "inbox" / ".session-x" / "x.ogg.part", "sound"), side)
     assert ok and sorted(os.listdir(tmp_path / "inbox")) == ["x.job.json", "x.ogg"]
+
+
+def test_registry_is_read_back(spark, tmp_path):
+    schema = "id string, name string, ord long, embedding array<double>, embedding_model string, source string, added string"
+    rows = [("b", "ข\"x", 2, [1.0, 2.0], "m", "s", "2026"), ("b", "ข\"x", 1, [3.0], "m", None, None), ("a", "n", 5, [0.5], "k", "t", "2025")]
+    path = str(tmp_path / "registry.json")
+    for _ in range(2):  # a file that is there is replaced
+        assert sinks.save_files(sinks.registry_file(spark.createDataFrame(rows, schema), path)) == 1
+    got = [tuple(r)[:2] + tuple(r)[3:] for r in files.load_registry(spark, path).orderBy("ord").collect()]
+    assert got == [tuple(r)[:2] + tuple(r)[3:] for r in sorted(rows, key=lambda r: r[2])]
+    assert json.load(open(path, encoding="utf-8"))["version"] == 1 and os.path.isfile(path)
+    sinks.save_files(sinks.registry_file(spark.createDataFrame([], schema), path))
+    assert files.load_registry(spark, path).count() == 0
+    assert [n for n in os.listdir(tmp_path) if "-new-" in n] == []
+
+
+def test_sidecars_and_queues_are_read_back(spark, tmp_path):
+    jobs = spark.createDataFrame([(str(tmp_path / "in" / "a.job.json"), None, "dev", "x", None), (str(tmp_path / "in" / "b.job.json"), 'q"', None, None, "t.md")], "path string, claude_model string, profile string, asr_engine string, transcript_path string")
+    assert sinks.save_files(sinks.job_json(jobs)) == 2
+    got = {os.path.basename(r.path): tuple(r)[1:] for r in files.read_jobs(spark, str(tmp_path / "in")).collect()}
+    assert got == {"a.job.json": (None, "dev", "x", None), "b.job.json": ('q"', None, None, "t.md")}
+    pending = spark.createDataFrame([("m1", "dir1", "a.wav", "B", [1.0, 2.0]), ("m1", "dir1", "a.wav", "A", None), ("m2", "dir2", "b.wav", "C", [0.0])], "meeting_id string, meeting_dir string, audio_file string, label string, embedding array<double>")
+    assert sinks.save_files(sinks.pending_files(pending, str(tmp_path / "q"))) == 2
+    back = files.load_pending(spark, str(tmp_path / "q")).select("meeting_dir", "audio_file", F.transform("speakers", lambda v: F.try_variant_get(v, "$.label", "string")).alias("labels")).collect()
+    assert [tuple(r) for r in back] == [("dir1", "a.wav", ["A", "B"]), ("dir2", "b.wav", ["C"])]
+
+
+def test_a_table_that_was_left_aside_comes_back(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    os.rename(path, path + "-old-1")
+    assert sinks.restore_table(spark, path) and spark.read.parquet(path).count() == 3 and not sinks.restore_table(spark, path)
+
+
+def test_decisions_on_unknown_people_are_refused(spark):
+    from speechframe.operators import voices
+
+    registry = spark.createDataFrame([("i1", "Ann", 1, [1.0], "m", "s", "d")], "id string, name string, ord long, embedding array<double>, embedding_model string, source string, added string")
+    queue = spark.createDataFrame([("x", label, 9, [2.0], "m", "d") for label in "abcd"], "meeting_dir string, label string, ord long, embedding array<double>, embedding_model string, added string")
+    decisions = spark.createDataFrame([("x", "a", "Bob", "nobody"), ("x", "b", " ", None), ("x", "c", "Cid", None), ("x", "d", "other", "i1")], "meeting_dir string, label string, name string, speaker_id string")
+    assert sorted((r.name, r.sample_count) for r in voices.registry_summary(voices.confirm_speaker(registry, queue, decisions)).collect()) == [("Ann", 2), ("Cid", 1)]
+    assert sorted(tuple(r) for r in voices.refused_decisions(registry, decisions).collect()) == [("x", "a", "unknown_speaker"), ("x", "b", "no_name")]
+
+
+def test_the_job_asks_once_for_each_chunk_and_keeps_failed_meetings(spark, tmp_path):
+    from speechframe.operators.pipeline import process
+
+    rows = [(m, i, 10.0 * i, 10.0 * i + 9, f"{m} says line {i} " * 8) for m, n in (("long", 60), ("short", 2), ("bad", 2)) for i in range(n)]
+    segments = spark.createDataFrame(rows, "meeting_id string, seq long, start double, end double, text string")
+    turns = spark.createDataFrame([(m, i, a, b, f"S{i % 3}") for m, i, a, b, _ in rows], "meeting_id string, turn_idx long, start double, end double, speaker string")
+    glossary = spark.createDataFrame([], "section string, correct string, correct_ord int, wrong string, wrong_ord int")
+    calls = str(tmp_path / "calls")
+    os.makedirs(calls)
+
+    def factory():
+        def model(prompt, most):
+            if "bad says" in prompt:
+                raise ValueError("no answer")
+            with open(f"{calls}/{os.getpid()}-{len(os.listdir(calls))}-{abs(hash(prompt))}", "x"):
+                return prompt.split("\n")[0][:50], False
+
+        return model
+
+    out = process(segments, turns, glossary, factory, max_tokens=800, overlap_tokens=50, threshold=1500)
+    got = {r.meeting_id: r.summary for r in out.summaries.collect()}
+    assert set(got) == {"long", "short"} and [(r.meeting_id, r.error) for r in out.failures.collect()] == [("bad", "no answer")]
+    chunks = out.chunks.count()
+    assert chunks > 2 and out.chunks.where("meeting_id <> 'long'").count() == 0
+    assert len(os.listdir(calls)) == chunks + 1 + 1  # the long one's parts and reduction, the short one's single call
+    assert got["long"].count("### ") == chunks and "### " not in got["short"]
