@@ -8,6 +8,7 @@ record a block however many documents have it.
 
 from __future__ import annotations
 
+import functools
 import math
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,12 +30,22 @@ KEY_BITS = np.uint64((1 << 39) - 1)
 COLUMNS = ["block", "texts", "sizes", "ids", "known"]
 
 
+@functools.cache
+def _compressor(level: int) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=level)
+
+
+@functools.cache
+def _decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def squeezed(data: bytes, level: int = 1) -> bytes:
-    return zstandard.ZstdCompressor(level=level).compress(data)
+    return _compressor(level).compress(data)
 
 
 def unsqueezed(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data) if data else b""
+    return _decompressor().decompress(data) if data else b""
 
 
 def record(values: list, kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
