@@ -88,4 +88,4 @@ def test_stages_on_odd_rows(spark):
     for k in (0, 2, 3):
         out = corpus_pipeline.STAGES[k][1](spark, plain, SF)
         assert out.columns == plain.columns and out.count() <= 7
-    assert pseudonyms.pseudonymise(plain).count() == 7
+    assert pseudonyms.pseudonymise(plain, "a key").count() == 7
