@@ -137,11 +137,14 @@ def test_stats_and_participants(spark):
     assert line.startswith("ผู้เข้าร่วม: 3 เสียง (ระบุตัวได้จากลายเสียง 1 คน)") and "ผู้พูด 2 30.0% (พูดครั้งแรก 08:00)" in line
 
 
-def test_match_known_ties_thresholds_and_stamps(spark):
+@pytest.mark.parametrize("bytes_held", [voices.REGISTRY_BYTES, 0])
+def test_match_known_ties_thresholds_and_stamps(spark, monkeypatch, bytes_held):
+    monkeypatch.setattr(voices, "REGISTRY_BYTES", bytes_held)
     s = spark.createDataFrame([("i1", "one", 1, [1.0, 0.0], " m "), ("i2", "two", 2, [1.0, 0.0], "m"), ("i3", "three", 3, [0.0, 1.0], None), ("i4", "four", 4, [0.0, 0.0], "m")], "speaker_id string, name string, ord long, embedding array<double>, embedding_model string")
     p = spark.createDataFrame([("a", [2.0, 0.0], "m"), ("b", [0.6, 0.8], "m"), ("c", [0.0, 1.0], "m"), ("d", [1.0, 0.0], "other"), ("e", None, "m"), ("f", [float("nan"), 1.0], "m")], "label string, embedding array<double>, embedding_model string")
     got = {r.label: (r.name, round(r.score, 6), r.confident) for r in voices.match_known(p, s, 0.7, 0.5).collect()}
     assert got == {"a": ("one", 1.0, True), "b": ("one", 0.6, False)}
+    assert voices.match_known(p, s.limit(0), 0.7, 0.5).count() == 0
 
 
 def test_average_directions(spark):
