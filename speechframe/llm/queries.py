@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from speechframe.llm import bpe, decontaminate, exact_substrings, fuzzy_passages, licenses, near_duplicates, pseudonyms, quality, token_counts, top_k
+from speechframe.llm import bpe, decontaminate, exact_substrings, fuzzy_passages, importance, licenses, near_duplicates, product_codes, pseudonyms, quality, token_counts, token_files, top_k
 from speechframe.llm.common import table
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -13,6 +13,31 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join(f"(string_split('{' '.join(licenses.tokens_of(text))}', ' '), {', '.join(map(repr, rest))})" for text, *rest in rows)
 
 
+def _product_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Plain Lloyd rounds, all distances each, a pair of steps a round."""
+    steps = [
+        f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+piece AS MATERIALIZED (SELECT vec_id, label, p, list_slice(v, p * len(v) // {parts} + 1, (p + 1) * len(v) // {parts}) AS x FROM kept, range({parts}) t(p)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT {entries}),
+book0 AS MATERIALIZED (SELECT p, e, x AS c FROM piece JOIN first USING (vec_id))"""
+    ]
+    for r in range(rounds + 1):
+        far = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+        steps.append(f"near{r} AS MATERIALIZED (SELECT vec_id, label, p, any_value(x) AS x, min({{'d': {far}, 'e': e}}) AS m FROM piece JOIN book{r} USING (p) GROUP BY vec_id, label, p)")
+        if r < rounds:
+            mean = f"SELECT p, e, list(m ORDER BY i) AS c FROM (SELECT p, m.e AS e, i, floor(sum(x[i]) / count(*))::BIGINT AS m FROM near{r}, unnest(range(1, len(x) + 1)) t(i) GROUP BY ALL) GROUP BY p, e"
+            steps.append(f"mean{r} AS ({mean}), book{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(mean{r}.c, book{r}.c) AS c FROM book{r} LEFT JOIN mean{r} USING (p, e))")
+    return (
+        ",\n".join(steps)
+        + f""",
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM near{rounds} GROUP BY vec_id, label),
+digest AS (SELECT sha256(string_agg(n::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, i, c[i] AS n FROM book{rounds}, unnest(range(1, len(c) + 1)) t(i)))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, digest"""
+    )
+
+
 def op1_top_k(spark, sf_dir):
     return top_k.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
 
@@ -57,6 +82,18 @@ def op10_license_scan(spark, sf_dir):
     return licenses.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_files(spark, sf_dir):
+    return token_files.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_product_codes(spark, sf_dir):
+    return product_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_byte_bpe": op2_byte_bpe,
@@ -68,6 +105,9 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_token_counts": op9_token_counts,
     "op10_license_scan": op10_license_scan,
+    "op11_importance": op11_importance,
+    "op12_token_files": op12_token_files,
+    "op13_product_codes": op13_product_codes,
     "quality_of_pages": quality_of_pages,
 }
 
@@ -110,4 +150,26 @@ best AS (SELECT doc_id, max(score) AS score FROM hit GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
        coalesce(base.labels, '') AS base_labels, coalesce(every.labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN best USING (doc_id)""",
+    "op11_importance": f"""
+WITH RECURSIVE step AS (SELECT i::UBIGINT AS i, i::UBIGINT AS c, 0 AS k FROM range(256) t(i)
+              UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+crcs AS (SELECT list(c ORDER BY i) AS l FROM step WHERE k = 8),
+dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+feature AS (SELECT doc_id, unnest(w) AS word FROM dw),
+aimed AS (SELECT unnest({_WORDS}) AS word FROM benchmark),
+vocabulary AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM feature UNION SELECT word FROM aimed)),
+hashed AS (SELECT word, (xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, len(h), 2), lambda p: ('0x' || substr(h, p, 2))::UBIGINT)),
+                             lambda c, b: xor(c >> 8, l[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT) % 10000)::INTEGER AS bucket FROM vocabulary, crcs),
+source AS (SELECT bucket, count(*) AS s FROM feature JOIN hashed USING (word) GROUP BY bucket),
+target AS (SELECT bucket, count(*) AS t FROM aimed JOIN hashed USING (word) GROUP BY bucket),
+total AS (SELECT (SELECT coalesce(sum(s), 0) FROM source)::DOUBLE AS s, (SELECT coalesce(sum(t), 0) FROM target)::DOUBLE AS t),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(target.t, 0) + 1)::DOUBLE * (total.s + 10000) / ((source.s + 1)::DOUBLE * (total.t + 10000))))::BIGINT AS gain
+         FROM source LEFT JOIN target USING (bucket), total),
+gained AS (SELECT doc_id, sum(gain)::BIGINT AS gained FROM feature JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (SELECT doc_id, len(w)::BIGINT AS n_features, CASE WHEN len(w) = 0 THEN 0 ELSE floor(gained / len(w)) END::BIGINT AS weight,
+                  ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM dw LEFT JOIN gained USING (doc_id)),
+noisy AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM scored),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM noisy WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END::BIGINT AS rank FROM noisy LEFT JOIN placed USING (doc_id)""",
+    "op13_product_codes": _product_codes_sql(),
 }
