@@ -1,8 +1,8 @@
 """Term dictionaries: parsing, rewriting with counts, audits and the word lists made of them.
 
-A dictionary is a table (section, correct, correct_ord, wrong, wrong_ord, line). Its replacing sections
-become one alternation, longest form first, which the JVM's regular expressions apply to each text in
-a single pass; headers of transcript blocks are matched before any form and pass unchanged.
+A dictionary is a table (section, correct, correct_ord, wrong, wrong_ord, line) of any size. Its forms are
+found in a single pass over each text, however many there are (matching.py); headers of transcript blocks
+are matched before any form and pass unchanged.
 """
 
 from __future__ import annotations
@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 
 from speechframe import schema as S
 from speechframe.functions.text import blank_to_null, has_markup, split_forms, strip, strip_comment
-
-#: Wrong forms that one pattern may hold: it is literal text of the plan. A larger dictionary is refused.
-MOST_FORMS = 20_000
+from speechframe.operators.matching import Forms, places, rewritten
 
 
 def _sections(lines: DataFrame) -> DataFrame:
@@ -76,52 +74,38 @@ def parse_teams(lines: DataFrame) -> DataFrame:
 
 
 class Rewriter:
-    """The forms of some sections as one pattern and its look-up. The dictionary is a bounded dimension: its size is checked."""
+    """The forms of some sections, replaced from left to right, the longest first; headers of blocks pass unchanged.
+
+    A form of several terms stands for the one declared last. Dictionaries of any size are taken.
+    """
 
     def __init__(self, dictionary: DataFrame, sections: tuple[str, ...]):
         d = dictionary.where(F.col("section").isin(*sections) & (F.col("wrong") != ""))
-        last = d.groupBy("wrong").agg(F.max_by("correct", F.struct("correct_ord", "wrong_ord")).alias("correct"))
-        rows = last.take(MOST_FORMS + 1)
-        if len(rows) > MOST_FORMS:
-            raise ValueError(f"a dictionary layer of more than {MOST_FORMS} forms doesn't fit one pattern")
-        self.lookup = {r.wrong: r.correct for r in sorted(rows, key=lambda r: (-len(r.wrong), r.wrong))}
-        self.pattern = "|".join([S.HEADER, *(r"\Q" + w.replace(r"\E", r"\E\\E\Q") + r"\E" for w in self.lookup)])
-
-    def hits(self, text: Column) -> Column:
-        """What the pattern matches, from left to right."""
-        return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0)) if self.lookup else F.array().cast("array<string>")
-
-    def correct(self, hit: Column) -> Column:
-        """The correct term of a hit; null for headers."""
-        pairs = [x for w, c in self.lookup.items() for x in (F.lit(w), F.lit(c))]
-        return F.try_element_at(F.create_map(*pairs), hit)
-
-    def replaced(self, text: Column) -> Column:
-        if not self.lookup:
-            return text
-        between = F.split(text, self.pattern, -1)
-        fixed = F.transform(self.hits(text), lambda h: F.coalesce(self.correct(h), h))
-        return F.array_join(F.zip_with(between, fixed, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-
-    def counted(self, docs: DataFrame, text: Column, key: str) -> DataFrame:
+        self.forms = Forms(d.groupBy("wrong").agg(F.max_by("correct", F.struct("correct_ord", "wrong_ord")).alias("correct")))
+
+    def scanned(self, docs: DataFrame, text: str, into: str = "__r") -> DataFrame:
+        """docs with a struct of the corrected text and hits, how often each correct term came in."""
+        return rewritten(docs, self.forms, text, S.HEADER, into)
+
+    def counted(self, docs: DataFrame, text: str, key: str) -> DataFrame:
         """key, term, n: hits of each document by their correct term."""
-        if not self.lookup:
-            return docs.select(key, F.lit(None).cast("string").alias("term"), F.lit(0).cast("bigint").alias("n")).limit(0)
-        hit = docs.select(key, F.explode(self.hits(text)).alias("__h")).withColumn("term", self.correct(F.col("__h"))).where("term IS NOT NULL")
-        return hit.groupBy(key, "term").agg(F.count("*").alias("n"))
+        hits = self.scanned(docs.select(key, text), text).select(key, F.explode("__r.hits").alias("h"))
+        return hits.groupBy(key, F.col("h.term").alias("term")).agg(F.sum("h.n").alias("n"))
 
 
 def apply_exact(docs: DataFrame, dictionary: DataFrame, key: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(docs with their text corrected, counts (key, term, n)): exact forms first, aliases on what that leaves."""
     exact, aliases = Rewriter(dictionary, ("exact",)), Rewriter(dictionary, ("aliases",))
-    once = docs.withColumn(text, exact.replaced(F.col(text)))
-    counts = exact.counted(docs, F.col(text), key).unionByName(aliases.counted(once, F.col(text), key))
-    return once.withColumn(text, aliases.replaced(F.col(text))), counts.groupBy(key, "term").agg(F.sum("n").alias("n"))
+    once = exact.scanned(docs, text, "__once").withColumn(text, F.col("__once.text"))
+    twice = aliases.scanned(once, text, "__twice")
+    hits = twice.select(key, F.explode(F.concat("__once.hits", "__twice.hits")).alias("h"))
+    counts = hits.groupBy(key, F.col("h.term").alias("term")).agg(F.sum("h.n").alias("n"))
+    return twice.withColumn(text, F.col("__twice.text")).drop("__once", "__twice"), counts
 
 
 def count_only(docs: DataFrame, dictionary: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Counts of the forms that a model is to interpret; nothing is rewritten."""
-    return Rewriter(dictionary, ("fuzzy", "project-names")).counted(docs, F.col(text), key)
+    return Rewriter(dictionary, ("fuzzy", "project-names")).counted(docs, text, key)
 
 
 def busiest_first(counts: DataFrame) -> DataFrame:
@@ -160,69 +144,51 @@ def find_collisions(dictionary: DataFrame) -> DataFrame:
 
     inside_correct (heavy): the form lies inside another correct term; inside_wrong (light): inside a
     form of another term; short (light): fewer than MIN_SAFE_LENGTH characters; self (light): it maps to
-    itself. Containment is an equi-join: every substring of a term that is as long as some form.
+    itself. The terms are searched for all forms at once, and what is found is joined by the form.
     """
     forms = dictionary.where(F.col("section").isin(*S.REPLACING_SECTIONS)).select("section", "wrong", "correct").where("wrong <> ''").distinct()
-    sizes = [r[0] for r in forms.select(F.char_length("wrong")).distinct().collect()]
+    index = Forms(forms.select("wrong").distinct())
 
-    def pieces(column: str, n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(column) - (n - 1))), lambda i: F.substr(F.col(column), i, F.lit(n)))
+    def within(terms: DataFrame) -> DataFrame:
+        return places(terms, index, "other").drop("at").join(forms, "wrong")
 
-    def within(terms: DataFrame, column: str) -> DataFrame:
-        subs = F.flatten(F.array(*[pieces(column, n) for n in sizes])) if sizes else F.array().cast("array<string>")
-        found = terms.select("*", F.explode(F.array_distinct(subs)).alias("__w"))
-        return found.join(forms, found["__w"] == forms["wrong"])
+    def rows(found: DataFrame, kind: str, severity: str, other: Column) -> DataFrame:
+        return found.select(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), "section", "wrong", "correct", other.alias("other"))
 
     terms = dictionary.select(F.col("correct").alias("other")).distinct()
-    heavy = within(terms, "other").where("wrong <> other").select(F.lit("inside_correct").alias("kind"), F.lit("heavy").alias("severity"), "section", "wrong", "correct", "other")
+    heavy = rows(within(terms).where("wrong <> other"), "inside_correct", "heavy", F.col("other"))
     others = forms.select(F.col("wrong").alias("other"), F.col("correct").alias("__oc")).distinct()
-    light = within(others, "other").where("wrong <> other AND correct <> __oc").select(F.lit("inside_wrong").alias("kind"), F.lit("light").alias("severity"), "section", "wrong", "correct", "other").distinct()
-    none = F.lit(None).cast("string").alias("other")
-    short = forms.where(F.char_length(strip(F.col("wrong"))) < S.MIN_SAFE_LENGTH).select(F.lit("short").alias("kind"), F.lit("light").alias("severity"), "section", "wrong", "correct", none)
-    self_ = forms.where("wrong = correct").select(F.lit("self").alias("kind"), F.lit("light").alias("severity"), "section", "wrong", "correct", none)
-    return heavy.unionByName(light).unionByName(short).unionByName(self_)
-
+    light = rows(within(others).where("wrong <> other AND correct <> __oc"), "inside_wrong", "light", F.col("other")).distinct()
+    none = F.lit(None).cast("string")
+    short = rows(forms.where(F.char_length(strip(F.col("wrong"))) < S.MIN_SAFE_LENGTH), "short", "light", none)
+    return heavy.unionByName(light).unionByName(short).unionByName(rows(forms.where("wrong = correct"), "self", "light", none))
 
-def _scan(docs: DataFrame, forms: list[str], key: str) -> DataFrame:
-    """key, wrong, pos (from 0): places of each form in each text, found on its own and without overlap.
 
-    The text is split at a form once for each form of the (bounded) list; lengths of the pieces give the places.
-    """
-    terms = F.array(*[F.lit(f) for f in forms]) if forms else F.array().cast("array<string>")
-    each = docs.select(key, "text", F.explode(terms).alias("wrong")).where(F.contains("text", F.col("wrong")))
-    pieces = F.split(F.col("text"), F.concat(F.lit(r"\Q"), F.col("wrong"), F.lit(r"\E")), -1)
-    lengths = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.char_length)
-    start = F.transform(lengths, lambda n, i: F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x) + i * F.char_length("wrong"))
-    return each.select(key, "text", "wrong", F.explode(start).alias("pos"))
-
-
-def _forms(dictionary: DataFrame, sections: tuple[str, ...]) -> list[str]:
-    rows = dictionary.where(F.col("section").isin(*sections) & (F.col("wrong") != "")).select("wrong").distinct().take(MOST_FORMS + 1)
-    if len(rows) > MOST_FORMS:
-        raise ValueError(f"a dictionary of more than {MOST_FORMS} forms can't be scanned form by form")
-    return sorted(r.wrong for r in rows)
+def _forms(dictionary: DataFrame, sections: tuple[str, ...]) -> DataFrame:
+    return dictionary.where(F.col("section").isin(*sections) & (F.col("wrong") != "")).select("wrong").distinct()
 
 
 def count_in_transcripts(dictionary: DataFrame, docs: DataFrame) -> DataFrame:
     """wrong, hits, meetings: how often each form occurs and in how many documents (text), with zeros. Texts pass once and combine before the shuffle."""
     forms = _forms(dictionary, S.DICTIONARY_SECTIONS)
-    if not forms:
-        return docs.select(F.lit("").alias("wrong"), F.lit(0).cast("bigint").alias("hits"), F.lit(0).cast("bigint").alias("meetings")).limit(0)
-    n = F.call_function("div", F.char_length("text") - F.char_length(F.replace(F.col("text"), F.col("wrong"))), F.char_length("wrong"))
-    each = docs.select("text", F.explode(F.array(*[F.lit(f) for f in forms])).alias("wrong")).withColumn("n", n)
-    found = each.groupBy("wrong").agg(F.sum("n").alias("hits"), F.count_if(F.col("n") > 0).alias("meetings"))
-    every = docs.sparkSession.createDataFrame([(f,) for f in forms], "wrong string")
-    return every.join(found, "wrong", "left").select("wrong", F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"), F.coalesce("meetings", F.lit(0)).cast("bigint").alias("meetings"))
+    found = places(docs.select("text"), Forms(forms), "text").groupBy("wrong").agg(F.sum(F.size("at")).alias("hits"), F.count("*").alias("meetings"))
+    return forms.join(found, "wrong", "left").select("wrong", F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"), F.coalesce("meetings", F.lit(0)).cast("bigint").alias("meetings"))
 
 
 def sample_context(dictionary: DataFrame, docs: DataFrame, key: str, count: int = S.EXAMPLES_PER_TERM, around: int = S.CONTEXT_CHARS) -> DataFrame:
-    """wrong, example, key, pos, snippet: the first places of each replacing form by key and place, with the text around."""
-    places = _scan(docs, _forms(dictionary, S.REPLACING_SECTIONS), key)
-    local = places.groupBy("wrong", key, "text").agg(F.slice(F.array_sort(F.collect_list("pos")), 1, count).alias("p")).select("wrong", key, "text", F.explode("p").alias("pos"))
-    w = W.partitionBy("wrong").orderBy(key, "pos")
-    start = F.greatest(F.lit(0), F.col("pos") - around)
-    cut = local.select("wrong", key, "pos", F.translate(F.substr(F.col("text"), start + 1, F.col("pos") - start + F.char_length("wrong") + around), "\n", " ").alias("snippet"))
-    return cut.withColumn("example", F.row_number().over(w)).where(F.col("example") <= count).select("wrong", "example", key, "pos", "snippet")
+    """wrong, example, key, pos, snippet: the first places of each replacing form by key and place, with the text around.
+
+    A document hands on its first places only, and a task the first of its documents, before rows are shuffled by form.
+    """
+    found = places(docs.select(key, "text"), Forms(_forms(dictionary, S.REPLACING_SECTIONS)), "text")
+
+    def cut(pos: Column) -> Column:
+        start = F.greatest(F.lit(0), pos - around)
+        return F.struct(pos.alias("pos"), F.translate(F.substr(F.col("text"), start + 1, pos - start + F.char_length("wrong") + around), "\n", " ").alias("snippet"))
+
+    each = found.select("wrong", key, F.explode(F.transform(F.slice("at", 1, count), cut)).alias("c")).select("wrong", key, "c.pos", "c.snippet")
+    w = W.partitionBy("wrong").orderBy(key, "pos", "snippet")
+    return each.withColumn("example", F.row_number().over(w)).where(F.col("example") <= count).select("wrong", "example", key, "pos", "snippet")
 
 
 def audit(dictionary: DataFrame, docs: DataFrame, top: int = 15) -> dict[str, DataFrame]:
