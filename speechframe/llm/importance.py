@@ -1,9 +1,10 @@
 """Importance resampling towards a target corpus: inverted postings, dealt by hashed feature.
 
 One pass turns each text into postings: for a block of documents, every bucket's documents and counts, as
-one row. The postings are shuffled by bucket; there each bucket's gain is worked out from what both
-corpora hold of it and multiplied into the postings, and what documents gain is added up by document. A
-bucket that most documents share spreads over tasks by block, and each row of it is one block's share.
+one row. The postings are shuffled by bucket; there each bucket's gain, worked out from what both corpora
+hold of it, is multiplied into the postings, and what documents gain is added up by document. Buckets are
+dealt in a fixed number of groups, so a document has at most that many sums to add up, and a group's
+postings over tasks by block: a bucket that most documents share spreads, each row of it one block's share.
 """
 
 from __future__ import annotations
@@ -24,10 +25,8 @@ from speechframe.llm.common import drop_written, small_batches, written
 
 #: A block ends at this many postings or documents; offsets within a block fit 16 bits.
 BLOCK_POSTINGS, BLOCK_DOCS = 1 << 20, 1 << 16
-#: Blocks of one bucket in one task; a bucket of more is dealt over several.
-BLOCKS_PER_TASK = 256
-#: Contributions that a task adds up before it hands them on.
-HELD_POSTINGS = 1 << 20
+#: Groups of buckets, and blocks of one group that come together: some 16 MB of postings, whatever the corpus.
+BUCKET_GROUPS, BLOCKS_PER_DEAL = 8, 16
 #: Hashed features that a worker remembers, and the longest it keeps.
 MAX_MEMO, MEMO_BYTES = 500_000, 48
 
@@ -121,34 +120,25 @@ def _postings(df: DataFrame, buckets: int, longest: int, with_docs: bool) -> Dat
     return df.select("id", "text").mapInArrow(run, schema)
 
 
-def _gained(postings: DataFrame) -> DataFrame:
-    """own, gained: count times gain of a document's postings, added up as far as they pass by together."""
+def _gained(postings: DataFrame, gains: DataFrame) -> DataFrame:
+    """own, gained: count times gain over a document's postings in one group of buckets. Both sides come by deal, the group and its share of the blocks."""
 
-    def run(batches):
-        owns, gains, held = [], [], 0
-
-        def flush():
-            own, place = np.unique(np.concatenate(owns), return_inverse=True)
-            gained = np.zeros(len(own), dtype=np.int64)
-            np.add.at(gained, place, np.concatenate(gains))
-            for i in range(0, len(own), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(own[i : i + 50_000]), pa.array(gained[i : i + 50_000])], names=["own", "gained"])
-
-        for batch in batches:
-            docs, counts = (batch.column(c).to_pylist() for c in ("docs", "counts"))
-            sizes = [len(c) // 4 for c in counts]
-            if not sizes:
-                continue
-            owns.append(np.repeat(batch.column("block").to_numpy(), sizes) + np.frombuffer(b"".join(docs), "<u2"))
-            gains.append(np.repeat(batch.column("gain").to_numpy(), sizes) * np.frombuffer(b"".join(counts), "<u4"))
-            held += sum(sizes)
-            if held >= HELD_POSTINGS:
-                yield from flush()
-                owns, gains, held = [], [], 0
-        if held:
-            yield from flush()
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        order = np.argsort(right.column("bucket").to_numpy())
+        known, gain = right.column("bucket").to_numpy()[order], right.column("gain").to_numpy()[order]
+        counts = left.column("counts").to_pylist()
+        sizes = [len(c) // 4 for c in counts]
+        if not sizes:
+            return pa.table({"own": pa.array([], pa.int64()), "gained": pa.array([], pa.int64())})
+        own = np.repeat(left.column("block").to_numpy(), sizes) + np.frombuffer(b"".join(left.column("docs").to_pylist()), "<u2")
+        each = np.repeat(gain[np.searchsorted(known, left.column("bucket").to_numpy())], sizes) * np.frombuffer(b"".join(counts), "<u4")
+        order = np.argsort(own, kind="stable")
+        own = own[order]
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        return pa.table({"own": pa.array(own[starts]), "gained": pa.array(np.add.reduceat(each[order], starts))})
 
-    return postings.select("block", "docs", "counts", "gain").mapInArrow(run, "own long, gained long")
+    left, right = postings.select("deal", "block", "bucket", "docs", "counts"), gains.select("deal", "bucket", "gain")
+    return left.groupBy("deal").cogroup(right.groupBy("deal")).applyInArrow(run, "own long, gained long")
 
 
 def _ranked(scored: DataFrame, eligible: int, percent: int, least_words: int) -> DataFrame:
@@ -190,12 +180,13 @@ def resample(
         return (n.cast("double") + 1) * (F.lit(total).cast("double") + buckets)
 
     gains = sums.where("s > 0").select("bucket", F.floor(1000 * F.log(smoothed(F.col("t"), all_s) / smoothed(F.col("s"), all_t))).cast("long").alias("gain"))
-    # a bucket has at most one row a block; many blocks are dealt over several tasks a bucket
+    # a bucket has at most one row a block; a deal is a group of buckets in some BLOCKS_PER_DEAL blocks
     blocks = held.where("bucket IS NOT NULL").select("block").distinct().count()
-    salts = max(1, math.ceil(blocks / BLOCKS_PER_TASK))
-    dealt = held.where("bucket IS NOT NULL").select("bucket", F.pmod(F.xxhash64("block"), F.lit(salts)).alias("salt"), "block", "docs", "counts")
-    priced = dealt.join(gains.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).hint("shuffle_hash"), ["bucket", "salt"])
-    every = _gained(priced).select("own", "gained", F.lit(None).cast(source.schema["id"].dataType).alias("id"), F.lit(None).cast("long").alias("n_features"), F.lit(None).cast("long").alias("n_words"))
+    shares = max(1, math.ceil(blocks / BLOCKS_PER_DEAL))
+    group = F.pmod("bucket", F.lit(BUCKET_GROUPS)).cast("long")
+    dealt = held.where("bucket IS NOT NULL").withColumn("deal", group * shares + F.pmod(F.xxhash64("block"), F.lit(shares)))
+    sent = gains.withColumn("deal", F.explode(F.sequence(group * shares, group * shares + (shares - 1))))
+    every = _gained(dealt, sent).select("own", "gained", F.lit(None).cast(source.schema["id"].dataType).alias("id"), F.lit(None).cast("long").alias("n_features"), F.lit(None).cast("long").alias("n_words"))
     every = every.unionByName(held.where("own IS NOT NULL").select("own", F.lit(0).cast("long").alias("gained"), "id", "n_features", "n_words"))
     docs = every.groupBy("own").agg(F.max("id").alias("id"), F.max("n_features").alias("n_features"), F.max("n_words").alias("n_words"), F.sum("gained").alias("gained"))
     mean = F.when(F.col("n_features") > 0, F.expr("(gained - pmod(gained, n_features)) div n_features")).otherwise(F.lit(0)).cast("long")
