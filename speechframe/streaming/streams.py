@@ -10,19 +10,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from speechframe import schema as S
+from speechframe.operators.models import retrying
 
 
-def watch(stream: DataFrame, process: Callable[[DataFrame, int], None], dead: str, checkpoint: str, once: bool = False, interval: str = "5 seconds") -> StreamingQuery:
-    """Runs process on each micro-batch of new rows; a batch that fails goes to the table of dead letters and the stream goes on.
+def watch(stream: DataFrame, process: Callable[[DataFrame, int], None], dead: str, checkpoint: str, once: bool = False, interval: str = "5 seconds", tries: int = 1, delay: float = 1.0) -> StreamingQuery:
+    """Runs process on each micro-batch of new rows; a batch that fails, after so many tries, goes to the table of dead letters and the stream goes on.
 
     Delivery is at least once: process is to be idempotent in the batch number, as Spark's own file sink is.
+    So are the dead letters: a batch's stand under its number.
     """
+    attempt = retrying(process, tries, delay)
 
     def guarded(batch: DataFrame, number: int) -> None:
         try:
-            process(batch, number)
+            attempt(batch, number)
         except Exception as error:  # the failure is the result: it is written with its rows
-            batch.select(F.to_json(F.struct("*")).alias("row"), F.lit(str(error)[:2000]).alias("error"), F.lit(number).alias("batch")).write.mode("append").parquet(dead)
+            failed = batch.select(F.to_json(F.struct("*")).alias("row"), F.lit(str(error)[:2000]).alias("error"))
+            failed.write.mode("overwrite").parquet(f"{dead}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(guarded).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
@@ -45,11 +49,6 @@ def live_gpu_jobs(events: DataFrame) -> DataFrame:
     return held.groupBy("job").agg(F.max_by("code", "ord").alias("code")).withColumn("busy", F.col("code").isin(*S.GPU_CODES))
 
 
-def once_only(markers: DataFrame, key: str, delay: str = "1 hour") -> DataFrame:
-    """Each key's first marker within the delay; the state of older ones is dropped."""
-    return markers.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
-
-
 def to_mono(frames: Column) -> Column:
     """Mean of the channels of each frame."""
     return F.transform(frames, lambda f: F.aggregate(f, F.lit(0.0), lambda a, x: a + x) / F.size(f))
