@@ -273,25 +273,25 @@ def busiest_first(spark, sf_dir):
     return counts.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "term")))
 
 
-@register("w08_hotwords", "SELECT string_agg(term, ', ' ORDER BY s, o, term) AS hotwords FROM (SELECT *, sum(length(term) + 2) OVER (ORDER BY s, o, term) - 2 AS upto FROM (SELECT correct AS term, min((CASE section WHEN 'fuzzy' THEN 0 WHEN 'project-names' THEN 1 ELSE 2 END)) AS s, min(correct_ord) AS o FROM dictionary WHERE section IN ('fuzzy', 'project-names', 'exact') GROUP BY correct)) WHERE upto <= 30".join([V.sql("dictionary", ""), ""]))
+@register("w08_hotwords", "SELECT string_agg(term, ', ' ORDER BY s, o, term) AS hotwords FROM (SELECT *, sum(length(term) + 2) OVER (ORDER BY s, o, term) - 2 AS upto FROM (SELECT correct AS term, min((CASE section WHEN 'fuzzy' THEN 0 WHEN 'project-names' THEN 1 ELSE 2 END)) AS s, min(correct_ord) AS o FROM lexicon WHERE section IN ('fuzzy', 'project-names', 'exact') GROUP BY correct)) WHERE upto <= 600".join([V.sql("lexicon", ""), ""]))
 def hotwords(spark, sf_dir):
-    return D.hotwords_text(V.dictionary(spark), 30)
+    return D.hotwords_text(V.lexicon(spark, sf_dir))
 
 
-@register("u03_prompt_blocks", V.sql("dictionary", """SELECT section, '### ' || section || chr(10) || string_agg('- ' || correct || ' ← ' || forms, chr(10) ORDER BY o, correct) AS block FROM (SELECT section, correct, min(correct_ord) AS o, string_agg(wrong, ', ' ORDER BY wrong_ord) AS forms FROM dictionary WHERE section IN ('fuzzy', 'project-names') GROUP BY ALL) GROUP BY section"""))
+@register("u03_prompt_blocks", V.sql("lexicon", """SELECT section, '### ' || section || chr(10) || string_agg('- ' || correct || ' ← ' || forms, chr(10) ORDER BY o, correct) AS block FROM (SELECT section, correct, min(correct_ord) AS o, string_agg(wrong, ', ' ORDER BY wrong_ord) AS forms FROM lexicon WHERE section IN ('fuzzy', 'project-names') GROUP BY ALL) GROUP BY section"""))
 def prompt_blocks(spark, sf_dir):
-    return D.prompt_blocks(V.dictionary(spark), {"fuzzy": "### fuzzy", "project-names": "### project-names"})
+    return D.prompt_blocks(V.lexicon(spark, sf_dir), {"fuzzy": "### fuzzy", "project-names": "### project-names"})
 
 
 @register(
     "j06_find_collisions",
-    V.sql("dictionary", """SELECT 'inside_correct' AS kind, 'heavy' AS severity, f.section, f.wrong, f.correct, t.correct AS other FROM (SELECT DISTINCT section, wrong, correct FROM dictionary WHERE section IN ('exact', 'aliases')) f JOIN (SELECT DISTINCT correct FROM dictionary) t ON contains(t.correct, f.wrong) AND f.wrong <> t.correct
-UNION ALL SELECT DISTINCT 'inside_wrong', 'light', f.section, f.wrong, f.correct, g.wrong FROM dictionary f JOIN dictionary g ON f.section IN ('exact', 'aliases') AND g.section IN ('exact', 'aliases') AND contains(g.wrong, f.wrong) AND f.wrong <> g.wrong AND f.correct <> g.correct
-UNION ALL SELECT DISTINCT 'short', 'light', section, wrong, correct, NULL FROM dictionary WHERE section IN ('exact', 'aliases') AND length(trim(wrong)) < 4
-UNION ALL SELECT DISTINCT 'self', 'light', section, wrong, correct, NULL FROM dictionary WHERE section IN ('exact', 'aliases') AND wrong = correct"""),
+    V.sql("lexicon", """SELECT 'inside_correct' AS kind, 'heavy' AS severity, f.section, f.wrong, f.correct, t.correct AS other FROM (SELECT DISTINCT section, wrong, correct FROM lexicon WHERE section IN ('exact', 'aliases')) f JOIN (SELECT DISTINCT correct FROM lexicon) t ON contains(t.correct, f.wrong) AND f.wrong <> t.correct
+UNION ALL SELECT DISTINCT 'inside_wrong', 'light', f.section, f.wrong, f.correct, g.wrong FROM lexicon f JOIN lexicon g ON f.section IN ('exact', 'aliases') AND g.section IN ('exact', 'aliases') AND contains(g.wrong, f.wrong) AND f.wrong <> g.wrong AND f.correct <> g.correct
+UNION ALL SELECT DISTINCT 'short', 'light', section, wrong, correct, NULL FROM lexicon WHERE section IN ('exact', 'aliases') AND length(trim(wrong)) < 4
+UNION ALL SELECT DISTINCT 'self', 'light', section, wrong, correct, NULL FROM lexicon WHERE section IN ('exact', 'aliases') AND wrong = correct"""),
 )
 def find_collisions(spark, sf_dir):
-    return D.find_collisions(V.dictionary(spark))
+    return D.find_collisions(V.lexicon(spark, sf_dir))
 
 
 _TALLY = "tally AS (SELECT wrong, sum((length(text) - length(replace(text, wrong, ''))) // length(wrong))::BIGINT AS hits, count_if(contains(text, wrong))::BIGINT AS meetings FROM documents, (SELECT DISTINCT wrong FROM dictionary) GROUP BY wrong)"
@@ -302,6 +302,11 @@ def count_in_transcripts(spark, sf_dir):
     return D.count_in_transcripts(V.dictionary(spark), V.table(spark, sf_dir, "documents"))
 
 
+@register("j07_lexicon_tally", V.sql("lexicon", "") + ", " + _TALLY.replace("FROM dictionary", "FROM lexicon") + " SELECT wrong, coalesce(hits, 0) AS hits, meetings FROM tally")
+def lexicon_tally(spark, sf_dir):
+    return D.count_in_transcripts(V.lexicon(spark, sf_dir), V.table(spark, sf_dir, "documents"))
+
+
 @register("e10_audit_alive", V.sql("dictionary", "") + ", " + _TALLY + " SELECT wrong, hits, meetings FROM tally WHERE hits > 0 ORDER BY hits DESC, wrong LIMIT 15")
 def audit_alive(spark, sf_dir):
     return D.audit(V.dictionary(spark), V.table(spark, sf_dir, "documents"))["alive"]

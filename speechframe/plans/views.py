@@ -90,10 +90,24 @@ DICTIONARY = [
 ]
 
 
+#: Sections of a lexicon's words by their length modulo four.
+SECTIONS = ("exact", "aliases", "fuzzy", "project-names")
+
+
 def dictionary(spark, sf_dir=None) -> DataFrame:
     return spark.createDataFrame(DICTIONARY, "section string, correct string, correct_ord int, wrong string, wrong_ord int")
 
 
+def lexicon(spark, sf_dir) -> DataFrame:
+    """A dictionary of the words of benchmark texts: sections by their length, each word and, where it is long, its start as forms."""
+    w = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.regexp_extract_all("text", F.lit("[a-z]{4,}"), F.lit(0))).alias("pos", "word"))
+    first = w.groupBy("word").agg(F.min(F.col("item_id") * 100_000 + F.col("pos")).alias("correct_ord"))
+    section = F.try_element_at(F.array(*[F.lit(x) for x in SECTIONS]), F.char_length("word") % 4 + 1)
+    forms = F.when(F.char_length("word") >= 6, F.array("word", F.substr("word", F.lit(1), F.char_length("word") - 1))).otherwise(F.array("word"))
+    each = first.select(section.alias("section"), F.upper("word").alias("correct"), "correct_ord", F.posexplode(forms).alias("p", "wrong"))
+    return each.select("section", "correct", "correct_ord", "wrong", (F.col("p") + 1).alias("wrong_ord"))
+
+
 def summaries(spark, sf_dir) -> DataFrame:
     """meeting_dir, summary_md, meta_md: documents as summaries with open items, profiles and quality sections."""
     d = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -156,6 +170,10 @@ SQL = {
     "voices": "voices AS (SELECT vec_id % 7 AS file, name AS label, arg_min(embedding, vec_id) AS embedding FROM prints GROUP BY ALL)",
     "truth": "truth AS (SELECT file, label, label AS person FROM voices WHERE file <> 6 AND label <> 'p9' UNION ALL SELECT DISTINCT file, '*', 'p0' FROM voices WHERE file = 6)",
     "dictionary": f"dictionary(section, correct, correct_ord, wrong, wrong_ord) AS (VALUES {_DICT_ROWS})",
+    "lexicon": """lexicon AS (SELECT section, upper(word) AS correct, correct_ord, wrong, wrong_ord FROM (
+  SELECT word, ['exact', 'aliases', 'fuzzy', 'project-names'][length(word) % 4 + 1] AS section, min(item_id * 100000 + pos) AS correct_ord
+  FROM (SELECT item_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT item_id, regexp_extract_all(text, '[a-z]{4,}') AS w FROM benchmark)) GROUP BY word) f,
+  LATERAL (SELECT f.word AS wrong, 1 AS wrong_ord UNION ALL SELECT f.word[1:length(f.word) - 1], 2 WHERE length(f.word) >= 6))""",
     "summaries": r"""summaries AS (SELECT lpad(doc_id::VARCHAR, 9, '0') AS meeting_dir, doc_id,
   'ผู้เข้าร่วม: old' || chr(10) || '## Topics' || chr(10) || '- a' || chr(10) || '[ไม่มั่นใจ] early' || chr(10) || '### part 1' || chr(10) || '[คำเพี้ยน?] x' || doc_id || chr(10) || '[ไม่มั่นใจ] y' || chr(10) || '### part 2' || chr(10) || '- kept' || chr(10) || '[คำเพี้ยน?] z' || chr(10) || '## จุดที่ควรตรวจเอง (2)' || chr(10) || '- check' || chr(10) || '[ไม่มั่นใจ] inside' || chr(10) || '## Open' || chr(10)
   || CASE WHEN doc_id % 3 > 0 THEN '- ' || regexp_replace(text, '[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]', ' ', 'g') || '.' || chr(10) || 'note' || chr(10) || '- second ' || doc_id || chr(10) ELSE 'nothing' || chr(10) END
