@@ -23,12 +23,14 @@ DATE_A, DATE_B, DATE_BASE = 189, 773, "1600-01-01"
 SSN_A, SSN_B = 898, 99 * 9999
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_WORD = "(?i:password|passwd|pwd|secret|token|api_?key)"
 #: Kind to pattern, in order of precedence. Quantifiers are bounded or possessive, so long runs cost linear time.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9\-])",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-][A-Za-z0-9.\-]*\.[A-Za-z]{2,24}(?![A-Za-z0-9\-])",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])",
     "access key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "password": r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api_?key)[=:][A-Za-z0-9+/_\-]{6,}+",
+    "service token": r"(?<![A-Za-z0-9])(?:gh[opsur]_[A-Za-z0-9]{36,}+|sk_(?:live|test)_[A-Za-z0-9]{16,}+|xox[abp]-[A-Za-z0-9\-]{10,}+)",
+    "password": rf"(?<![A-Za-z0-9]){_WORD}[\"']?(?:[=:][\"']?| ?[=:] ?[\"']| ?[=:] ?(?=[^\s\"'0-9!@#$%^&*]*+[0-9!@#$%^&*]))[^\s\"']{{6,}}+",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9]|[./\-][0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
@@ -36,8 +38,10 @@ PATTERNS = {
     "card": r"(?<![0-9.\-])[0-9]{4}(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]{1,7}(?![0-9]|[.\-][0-9])",
 }
 PATTERN = "|".join(PATTERNS.values())
-#: Holds in every text in which PATTERN does: a password needs neither a digit nor an @, nor does a secret of letters.
-COULD = r"[0-9@]|[=:][A-Za-z0-9+/_\-]{6}|[a-f]{32}|[A-F]{32}"
+#: By kind what each of its values needs: all but these need a digit.
+NEEDED = {"email": "@", "secret": "[a-f]{32}|[A-F]{32}", "access key": "AKIA[A-Z]", "service token": "gh[opsur]_|sk_|xox", "password": rf"{_WORD}[\"']? ?[=:]"}
+#: Holds in every text in which PATTERN does.
+COULD = "[0-9]|" + "|".join(NEEDED.values())
 
 
 #: Distinct characters that a hexadecimal secret holds at least; runs of fewer are padding.
@@ -185,15 +189,17 @@ def pseudonym(hit: Column, key: str) -> Column:
     code = F.when(hit.startswith("+"), F.length(F.regexp_extract(hit, r"^\+([0-9]{1,3})[ .\-(]", 1))).otherwise(0)
     local, domain = F.split_part(hit, F.lit("@"), F.lit(1)), F.split_part(hit, F.lit("@"), F.lit(2))
     host, top = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1), F.regexp_extract(domain, r"(\.[^.]*)$", 1)
-    email = _once(_mixed(key, "email", local, F.lower(host)), lambda new: F.concat(new, F.lit("@"), _mixed(key, "host", host, F.lower(new)), top))
+    email = _once(_chunked(local, lambda w: _mixed(key, "email", w, F.lower(host))), lambda new: F.concat(new, F.lit("@"), _chunked(host, lambda w: _mixed(key, "host", w, F.lower(new))), top))
     hexed = _permuted(key, "secret", F.lower(hit), 16)
-    sign = F.regexp_extract(hit, r"^(.*?[=:])", 1)
-    word = F.regexp_replace(hit, r"^.*?[=:]", "")
+    sign = F.regexp_extract(hit, r"^([^=:]*[=:] ?[\"']?)", 1)
+    word = F.regexp_replace(hit, r"^[^=:]*[=:] ?[\"']?", "")
+    issuer = F.regexp_extract(hit, "^(gh[opsur]_|sk_live_|sk_test_|xox[abp]-)", 1)
     options = {
-        "email": (hit.contains("@"), email),
+        "email": (hit.contains("@") & ~hit.rlike("[=:]"), email),
         "secret": (hit.rlike("^[0-9A-Fa-f]{32,}$"), F.when(F.size(F.array_distinct(F.regexp_extract_all(hit, F.lit("."), F.lit(0)))) >= SECRET_CHARS, F.when(hit.rlike("[A-F]"), F.upper(hexed)).otherwise(hexed))),
         "access key": (hit.rlike("^AKIA[0-9A-Z]{16}$"), F.concat(F.lit("AKIA"), F.upper(_permuted(key, "access key", F.lower(F.substring(hit, 5, 16)), 36)))),
-        "password": (hit.rlike("^[A-Za-z_]+[=:]"), F.concat(sign, _chunked(word, lambda w: _mixed(key, "password", w, F.lit(""))))),
+        "service token": (issuer != "", F.concat(issuer, _chunked(F.substring(hit, F.length(issuer) + 1, F.length(hit)), lambda w: _mixed(key, "service token", w, F.lit(""))))),
+        "password": (hit.rlike(r"^[A-Za-z_]+[\"']? ?[=:]"), F.concat(sign, _chunked(word, lambda w: _mixed(key, "password", w, F.lit(""))))),
         "ip": (hit.rlike(r"^[0-9]+(\.[0-9]+){3}$"), _ip(key, hit)),
         "date": (hit.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})$"), _date(key, hit)),
         "ssn": (hit.rlike(r"^\d{3}-\d{2}-\d{4}$"), _filled(hit, "0-9", _ssn(key, digits))),
@@ -210,8 +216,8 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """df with the private values of text_col replaced, and private_kinds (array<string>: the kind of each replaced value,
     in order of place) added. Whoever knows the key can reverse the pseudonyms, so there is no default.
 
-    Replaced are e-mail addresses, access keys, passwords in assignments, IPv4 addresses, phone numbers,
-    and, if they are valid, hexadecimal secrets (SECRET_CHARS distinct characters), dates, social
+    Replaced are e-mail addresses, access keys, service tokens, passwords in assignments (up to white space
+    or a quote; after a space only words with a digit or sign), IPv4 addresses, phone numbers, and, if they are valid, hexadecimal secrets (SECRET_CHARS distinct characters), dates, social
     security numbers and card numbers (Luhn). What fails validation stays as it is. Case is kept in its
     places, so values that differ in case alone get pseudonyms that do.
     A map over rows: no shuffle, whole texts, very long ones in linear time. Null texts stay null, with no kinds; repeated
