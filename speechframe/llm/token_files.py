@@ -27,8 +27,8 @@ from speechframe.llm.common import BROADCAST_ROWS, shared_dir, small_batches, wi
 
 #: Bytes of a row group and rows of a page of the ids; the indexes skip whole pages.
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 512
-#: Pieces and runs that a worker remembers, and the longest it keeps.
-MAX_MEMO, MEMO_CHARS = 400_000, 64
+#: Runs and pieces in each of the two generations that a worker remembers, and the longest it keeps.
+MAX_MEMO, MEMO_CHARS = 250_000, 48
 #: Texts that are joined to one array of ids at a time.
 SLICE_ROWS = 128
 
@@ -38,16 +38,24 @@ NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _L, _N, _S = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
 _PIECES = re.compile(PATTERN.replace(r"[\p{L}]", f"[{_L}]").replace(r"[\p{N}]", f"[{_N}]").replace(r"[^\s\p{L}\p{N}]", f"[^{_S}{_L}{_N}]")).findall
-_BEYOND = re.compile(r"[^\x00-\xff]|<\|").search
+
+
+def _simple(text: str) -> bool:
+    """Whether a text is Latin-1 and holds no start of a special token."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return "<|" not in text
 
 
 class PieceEncoder:
     """Packed ids (little-endian 32-bit) of texts, as the tokenizers library gives them.
 
-    If the tokenizer normalises and splits as stated above, pieces of Latin-1 texts are cut here and each
-    distinct one is merged by the library's model once. Other texts are cut at spaces and line ends, which
-    that pattern never matches and which nothing composes with, and the library encodes each run that holds
-    other characters. Any other tokenizer encodes whole texts.
+    If the tokenizer normalises and splits as stated above, texts are cut at spaces and line ends, which that
+    pattern never matches and which nothing composes with. Runs of Latin-1 are cut into the pattern's pieces
+    and each piece is merged by the library's model; the library encodes runs that hold other characters.
+    Runs are remembered. Any other tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -56,49 +64,57 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        config = json.loads(self.tokenizer.to_str())
-        steps = (config["normalizer"] or {}).get("normalizers"), [(s["type"], s.get("pattern"), s.get("behavior"), s.get("invert")) for s in (config["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        plain = all(t["content"].startswith("<|") and not t["normalized"] for t in config["added_tokens"])
-        self.cut = plain and steps == (NORMALIZERS, [("Split", {"Regex": PATTERN}, "Removed", True), ("ByteLevel", None, None, None)])
+        steps = [json.loads(part.__getstate__()) if part else {} for part in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)]
+        cuts = [(c["type"], c.get("pattern"), c.get("behavior"), c.get("invert")) for c in steps[1].get("pretokenizers", [])]
+        plain = all(t.content.startswith("<|") and not t.normalized for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.cut = plain and steps[0].get("normalizers") == NORMALIZERS and cuts == [("Split", {"Regex": PATTERN}, "Removed", True), ("ByteLevel", None, None, None)]
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(256)}
+        self.runs: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {"": b""}
+        self.older_pieces: dict[str, bytes] = {}
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
 
-    def _simple(self, text: str) -> bytes:
-        pieces, memo = _PIECES(text.lower()), self.pieces
-        parts = list(map(memo.get, pieces))
-        if None in parts:
-            for i, part in enumerate(parts):
-                if part is None and (part := memo.get(pieces[i])) is None:
-                    ids = [t.id for t in self.model.tokenize(pieces[i].translate(self.bytes))]
-                    part = struct.pack(f"<{len(ids)}i", *ids)
-                    if len(pieces[i]) <= MEMO_CHARS:
-                        memo[pieces[i]] = part
-                parts[i] = part
-            if len(memo) > MAX_MEMO:
-                memo.clear()
-        return b"".join(parts)
+    def _piece(self, piece: str) -> bytes:
+        """The ids of one match of the pattern."""
+        packed = self.pieces.get(piece) or self.older_pieces.get(piece)
+        if packed is None:
+            ids = [t.id for t in self.model.tokenize(piece if piece.isascii() and piece.isalnum() else piece.translate(self.bytes))]
+            packed = struct.pack(f"<{len(ids)}i", *ids)
+        if len(piece) <= MEMO_CHARS:
+            if len(self.pieces) >= MAX_MEMO:
+                self.pieces, self.older_pieces = {}, self.pieces
+            self.pieces[piece] = packed
+        return packed
 
     def _run(self, run: str) -> bytes:
-        ids = self.runs.get(run)
+        ids = self.older.get(run)
         if ids is None:
-            ids = self._library(run) if _BEYOND(run) else self._simple(run)
-            if len(run) <= MEMO_CHARS:
-                if len(self.runs) > MAX_MEMO:
-                    self.runs.clear()
-                self.runs[run] = ids
+            if not _simple(run):
+                ids = self._library(run)
+            elif run.isalpha():  # most runs are one word, or one and a sign
+                ids = self._piece(run.lower())
+            elif run[:-1].isalpha() and run[-1] in ".,;:!?":
+                ids = self._piece(run[:-1].lower()) + self._piece(run[-1])
+            else:
+                ids = b"".join(map(self._piece, _PIECES(run.lower())))
+        if len(run) <= MEMO_CHARS:
+            self.runs[run] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         if not self.cut:
             return self._library(text)
-        if not _BEYOND(text):
-            return self._simple(text)
-        return b"".join(map(self._run, text.replace("\n", " ").split(" ")))
+        runs = (text.lower() if _simple(text) else text).replace("\n", " ").split(" ")
+        parts = list(map(self.runs.get, runs))
+        if None in parts:
+            if len(self.runs) >= MAX_MEMO:
+                self.runs, self.older = {}, self.runs
+            parts = [self._run(run) if part is None else part for run, part in zip(runs, parts, strict=True)]
+        return b"".join(parts)
 
 
 _encoders: dict[str, PieceEncoder] = {}
