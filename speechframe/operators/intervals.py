@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from speechframe import schema as S
 from speechframe.functions.text import strip
+from speechframe.sources.sinks import stored
 
 
 def _bucket(x: Column, width) -> Column:
@@ -52,17 +53,75 @@ def seconds_by_speaker(turns: DataFrame) -> DataFrame:
     return turns.groupBy("meeting_id", "speaker").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.col("start"))).alias("seconds"))
 
 
-def union_intervals(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Overlapping or touching intervals of a key become one."""
+#: Ranges up to which their carried sums are broadcast.
+BROADCAST_RANGES = 100_000
+
+
+def _ranged(df: DataFrame, keys: list[str], order: list[str], ranges: int) -> DataFrame:
+    """df with __range, the number of the row's range: rows sorted by keys and order are cut into about so many ranges of like size, stored."""
+    return stored(df.repartitionByRange(ranges, *keys, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+
+
+def _carried(rows: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with what is carried into their range: sums has a row for each key and range."""
+    same = F.lit(True)
+    named = sums.withColumnsRenamed({k: f"__{k}" for k in [*keys, "__range"]})
+    for k in [*keys, "__range"]:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    few = sums.count() <= BROADCAST_RANGES
+    return rows.join(F.broadcast(named) if few else named, same, "left").drop(*[f"__{k}" for k in [*keys, "__range"]])
+
+
+def _union_by_ranges(df: DataFrame, keys: list[str], ranges: int) -> DataFrame:
+    """union_intervals() with a key's intervals in many tasks.
+
+    A range hands on its greatest end and the last start that follows no end of its own. What reaches into
+    a range is the greatest end before it, and the island that is open there is the last such start that
+    also follows that end.
+    """
+    d = _ranged(df.where("end >= start").select(*keys, "start", "end"), keys, ["start", "end"], ranges)
+    w = W.partitionBy(*keys, "__range").orderBy("start", "end")
+    local = d.withColumn("__b", F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)))
+    alone = F.when(F.col("__b").isNull() | (F.col("start") > F.col("__b")), F.col("start"))
+    sums = stored(local.groupBy(*keys, "__range").agg(F.max("end").alias("__e"), F.max(alone).alias("__l")), "sums")
+    before = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)  # a row a range
+    reach = sums.withColumn("__m", F.max("__e").over(before))
+    opens = F.when(F.col("__m").isNull() | (F.col("__l") > F.col("__m")), F.col("__l"))
+    carried = reach.withColumn("__o", opens).withColumn("__i", F.last("__o", ignorenulls=True).over(before)).select(*keys, "__range", "__m", "__i")
+    joined = _carried(local, stored(carried, "carried"), keys)
+    starts = F.when(F.greatest("__m", "__b").isNull() | (F.col("start") > F.greatest("__m", "__b")), F.col("start"))
+    island = F.coalesce(F.max(starts).over(w.rowsBetween(W.unboundedPreceding, 0)), F.col("__i"))
+    return joined.withColumn("__i", island).groupBy(*keys, "__i").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__i")
+
+
+def _swept_by_ranges(at: DataFrame, keys: list[str], values: list[str], ranges: int) -> DataFrame:
+    """Points (keys, p, values) with q, the next point of the key, and running sums of the values, with a key's points in many tasks."""
+    d = _ranged(at, keys, ["p"], ranges)
+    sums = stored(d.groupBy(*keys, "__range").agg(F.min("p").alias("__first"), *[F.sum(v).alias(f"__{v}") for v in values]), "sums")
+    order = W.partitionBy(*keys).orderBy("__range")  # a row a range
+    carry = [F.coalesce(F.sum(f"__{v}").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(f"__{v}") for v in values]
+    carried = stored(sums.select(*keys, "__range", F.lead("__first").over(order).alias("__next"), *carry), "carried")
+    w = W.partitionBy(*keys, "__range").orderBy("p")
+    joined = _carried(d, carried, keys)
+    return joined.select(*keys, "p", F.coalesce(F.lead("p").over(w), "__next").alias("q"), *[(F.sum(v).over(w) + F.col(f"__{v}")).alias(v) for v in values])
+
+
+def union_intervals(df: DataFrame, keys: list[str], ranges: int | None = None) -> DataFrame:
+    """Overlapping or touching intervals of a key become one. With ranges, a key's intervals are dealt over about so many tasks
+    by time, for keys that hold more than a task should."""
+    if ranges:
+        return _union_by_ranges(df, keys, ranges)
     w = W.partitionBy(*keys).orderBy("start", "end")
     before = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start") <= F.col("__m"), 0).otherwise(1)).over(w)
     return df.where("end >= start").withColumn("__m", before).withColumn("__i", island).groupBy(*keys, "__i").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__i")
 
 
-def _swept(points: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+def _swept(points: DataFrame, keys: list[str], values: dict[str, Column], ranges: int | None = None) -> DataFrame:
     """Cells between neighbouring boundary points, with running sums of the values at their start."""
     at = points.groupBy(*keys, "p").agg(*[F.sum(c).alias(n) for n, c in values.items()])
+    if ranges:
+        return _swept_by_ranges(at, keys, list(values), ranges).where("q IS NOT NULL")
     w = W.partitionBy(*keys).orderBy("p")
     return at.select(*keys, "p", F.lead("p").over(w).alias("q"), *[F.sum(n).over(w).alias(n) for n in values]).where("q IS NOT NULL")
 
@@ -72,27 +131,33 @@ def _points(df: DataFrame, keys: list[str], *extra: str) -> DataFrame:
     return d.select(*keys, *extra, F.explode(F.array(F.struct(F.col("start").alias("p"), F.lit(1).alias("d")), F.struct(F.col("end").alias("p"), F.lit(-1).alias("d")))).alias("__x")).select(*keys, *extra, "__x.p", "__x.d")
 
 
-def subtract_intervals(keep: DataFrame, remove: DataFrame, keys: list[str]) -> DataFrame:
+def subtract_intervals(keep: DataFrame, remove: DataFrame, keys: list[str], ranges: int | None = None) -> DataFrame:
     """The parts of keep's intervals that no interval of remove covers; overlapping intervals of keep are united first."""
-    a = _points(union_intervals(keep, keys), keys).withColumn("k", F.col("d")).withColumn("r", F.lit(0))
-    b = _points(union_intervals(remove, keys), keys).withColumn("k", F.lit(0)).withColumn("r", F.col("d"))
-    cells = _swept(a.unionByName(b), keys, {"k": F.col("k"), "r": F.col("r")}).where("k > 0 AND r = 0")
-    return union_intervals(cells.select(*keys, F.col("p").alias("start"), F.col("q").alias("end")), keys)
+    a = _points(union_intervals(keep, keys, ranges), keys).withColumn("k", F.col("d")).withColumn("r", F.lit(0))
+    b = _points(union_intervals(remove, keys, ranges), keys).withColumn("k", F.lit(0)).withColumn("r", F.col("d"))
+    cells = _swept(a.unionByName(b), keys, {"k": F.col("k"), "r": F.col("r")}, ranges).where("k > 0 AND r = 0")
+    return union_intervals(cells.select(*keys, F.col("p").alias("start"), F.col("q").alias("end")), keys, ranges)
 
 
-def clean_intervals(turns: DataFrame) -> DataFrame:
+def clean_intervals(turns: DataFrame, ranges: int | None = None) -> DataFrame:
     """The stretches of each speaker in which no other speaker's turn runs.
 
     A speaker's own overlapping turns are no overlap. Each speaker's coverage is united, the boundaries
     are swept once, and a cell belongs to a speaker where exactly one is active: the running sum of the
-    active speakers' numbers is then that speaker's number. Speakers with nothing left don't appear.
+    active speakers' numbers is then that speaker's number. Speakers with nothing left don't appear. With
+    ranges, one meeting's turns are dealt over about so many tasks by time.
     """
     keys = ["meeting_id"]
-    own = union_intervals(turns.where("end > start AND speaker IS NOT NULL").select("meeting_id", "speaker", "start", "end"), ["meeting_id", "speaker"])
-    numbered = own.withColumn("__no", F.dense_rank().over(W.partitionBy("meeting_id").orderBy("speaker")).cast("bigint"))
+    own = union_intervals(turns.where("end > start AND speaker IS NOT NULL").select("meeting_id", "speaker", "start", "end"), ["meeting_id", "speaker"], ranges)
+    if ranges:  # the numbers come from the speakers, not from a window over all of a meeting's turns
+        own = stored(own, "own")
+        who = own.select("meeting_id", "speaker").distinct().withColumn("__no", F.dense_rank().over(W.partitionBy("meeting_id").orderBy("speaker")).cast("bigint"))
+        numbered = own.join(who, ["meeting_id", "speaker"])
+    else:
+        numbered = own.withColumn("__no", F.dense_rank().over(W.partitionBy("meeting_id").orderBy("speaker")).cast("bigint"))
     names = numbered.select("meeting_id", "__no", "speaker").distinct()
-    cells = _swept(_points(numbered, keys, "__no"), keys, {"active": F.col("d"), "__no": F.col("d") * F.col("__no")}).where("active = 1")
-    united = union_intervals(cells.select("meeting_id", "__no", F.col("p").alias("start"), F.col("q").alias("end")), ["meeting_id", "__no"])
+    cells = _swept(_points(numbered, keys, "__no"), keys, {"active": F.col("d"), "__no": F.col("d") * F.col("__no")}, ranges).where("active = 1")
+    united = union_intervals(cells.select("meeting_id", "__no", F.col("p").alias("start"), F.col("q").alias("end")), ["meeting_id", "__no"], ranges)
     return united.join(names, ["meeting_id", "__no"]).select("meeting_id", "speaker", "start", "end")
 
 
