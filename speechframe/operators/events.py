@@ -105,13 +105,13 @@ def recorder_state(events: DataFrame) -> DataFrame:
     return g.withColumn("elapsed", F.when(F.col("status") != "idle", F.call_function("div", seconds, F.lit(1_000_000)))).drop("__now")
 
 
-def providers_known(requests: DataFrame, providers: DataFrame, most: int = 10_000) -> DataFrame:
+def providers_known(requests: DataFrame, providers: DataFrame) -> DataFrame:
     """requests (model_id) with status and detail: no summary or a known model is ok, an unknown one a warning that lists the known.
 
-    The known models are a bounded dimension, of at most so many names.
+    The list is one text, the same for all warnings.
     """
-    known = sorted(r.model_id for r in providers.where("model_id IS NOT NULL").select("model_id").distinct().take(most + 1))
-    if len(known) > most:
-        raise ValueError(f"more than {most} known models")
-    ok = F.coalesce(F.col("model_id").isin([*known, S.NO_SUMMARY_MODEL]), F.lit(False))
-    return requests.withColumn("status", F.when(ok, "ok").otherwise("warn")).withColumn("detail", F.when(~ok, F.lit(", ".join(known))))
+    names = providers.where("model_id IS NOT NULL").select("model_id").distinct()
+    listed = names.agg(F.array_join(F.array_sort(F.collect_list("model_id")), ", ")).first()[0]
+    d = requests.join(names.withColumn("__known", F.lit(True)), "model_id", "left").select(*requests.columns, "__known")
+    ok = F.coalesce(F.col("__known"), F.lit(False)) | F.coalesce(F.col("model_id") == S.NO_SUMMARY_MODEL, F.lit(False))
+    return d.withColumn("status", F.when(ok, "ok").otherwise("warn")).withColumn("detail", F.when(~ok, F.lit(listed))).drop("__known")

@@ -4,10 +4,7 @@ from __future__ import annotations
 
 SEGMENTS = "meeting_id string, seq int, start double, end double, text string"
 TURNS = "meeting_id string, turn_idx long, start double, end double, speaker string"
-ACTIVITY = "ts string, job string, code string, level string, params variant"
-JOB = "claude_model variant, profile variant, asr_engine variant, transcript_path variant"
 MANIFEST = "stem string, started_at string, samplerate int, parts array<string>, status string, devices map<string,string>, claude_model string, profile string, asr_engine string"
-SAMPLE = "embedding array<double>, embedding_model string, source string, added string, embedding_seconds double, segment_count int, model string"
 
 # Defaults that results depend on.
 CHARS_PER_TOKEN = 1.1
