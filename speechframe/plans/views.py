@@ -63,15 +63,14 @@ def probes(spark, sf_dir) -> DataFrame:
 
 
 def voices(spark, sf_dir) -> DataFrame:
-    """file, label, embedding: one print of each file and person."""
-    e = prints(spark, sf_dir).select((F.col("vec_id") % 7).alias("file"), F.col("name").alias("label"), "vec_id", "embedding")
-    return e.groupBy("file", "label").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    """file, label, embedding: every vector as a print in one of seven files."""
+    return prints(spark, sf_dir).select((F.col("vec_id") % 7).alias("file"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("label"), "embedding", "name")
 
 
 def truth(spark, sf_dir) -> DataFrame:
-    """file, label, person: everyone under the own name, file 6 as one person, p9 unknown but for that file."""
+    """file, label, person: everyone under the own name, but in file 6 one person whose labels aren't listed."""
     v = voices(spark, sf_dir)
-    own = v.where("file <> 6 AND label <> 'p9'").select("file", "label", F.col("label").alias("person"))
+    own = v.where("file <> 6").select("file", "label", F.col("name").alias("person"))
     return own.unionByName(v.where("file = 6").select("file", F.lit("*").alias("label"), F.lit("p0").alias("person")).distinct())
 
 
@@ -167,8 +166,8 @@ SQL = {
     "segments": f"""segments AS (SELECT {_DAY} AS meeting_id, event_id AS seq, {_MS} AS start, {_MS} + 60000 AS "end", event_type AS text FROM events WHERE event_type IN ('view', 'click'))""",
     "activity": f"""activity AS (SELECT event_id AS ord, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, 'job' || (user_id % 50) AS job, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CODES.items())} END AS code, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS level, value FROM events)""",
     "prints": "prints AS (SELECT vec_id, embedding::DOUBLE[] AS embedding, 'p' || label AS name, 'm' || (vec_id % 2) AS embedding_model, vec_id AS ord FROM embeddings)",
-    "voices": "voices AS (SELECT vec_id % 7 AS file, name AS label, arg_min(embedding, vec_id) AS embedding FROM prints GROUP BY ALL)",
-    "truth": "truth AS (SELECT file, label, label AS person FROM voices WHERE file <> 6 AND label <> 'p9' UNION ALL SELECT DISTINCT file, '*', 'p0' FROM voices WHERE file = 6)",
+    "voices": "voices AS (SELECT vec_id % 7 AS file, 'v' || vec_id AS label, embedding, name FROM prints)",
+    "truth": "truth AS (SELECT file, label, name AS person FROM voices WHERE file <> 6 UNION ALL SELECT DISTINCT file, '*', 'p0' FROM voices WHERE file = 6)",
     "dictionary": f"dictionary(section, correct, correct_ord, wrong, wrong_ord) AS (VALUES {_DICT_ROWS})",
     "lexicon": """lexicon AS (SELECT section, upper(word) AS correct, correct_ord, wrong, wrong_ord FROM (
   SELECT word, ['exact', 'aliases', 'fuzzy', 'project-names'][length(word) % 4 + 1] AS section, min(item_id * 100000 + pos) AS correct_ord

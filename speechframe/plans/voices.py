@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from speechframe import schema as S
 from speechframe.functions import text as X
 from speechframe.functions import typed as Y
+from speechframe.operators import calibration as C
 from speechframe.operators import events as E
 from speechframe.operators import intervals as I
 from speechframe.operators import meetings as M
@@ -44,18 +45,18 @@ _PAIRS = """resolved AS (SELECT v.file, v.label, v.embedding, coalesce(a.person,
 pairs AS (SELECT x.file AS left_file, x.label AS left_label, y.file AS right_file, y.label AS right_label, x.person = y.person AS same, list_cosine_similarity(x.embedding, y.embedding) AS score FROM resolved x JOIN resolved y ON (x.file, x.label) < (y.file, y.label) AND NOT (x.person = y.person AND x.file = y.file))"""
 
 
-def _pairs(spark, sf_dir):
-    return O.score_pairs(O.resolve_truth(V.voices(spark, sf_dir), V.truth(spark, sf_dir)))
+def _resolved(spark, sf_dir):
+    return O.resolve_truth(V.voices(spark, sf_dir), V.truth(spark, sf_dir))
 
 
 @register("j05_score_pairs", V.sql("prints voices truth", "") + ", " + _PAIRS + " SELECT * EXCLUDE (score), round(score, 6) AS score FROM pairs")
 def score_pairs(spark, sf_dir):
-    return _pairs(spark, sf_dir).withColumn("score", F.round("score", 6))
+    return C.score_pairs(_resolved(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 @register("a13_score_summary", V.sql("prints voices truth", "") + ", " + _PAIRS + " SELECT same, count(*) AS n, round(min(score), 6) AS min, round(median(score), 6) AS median, round(max(score), 6) AS max FROM pairs GROUP BY same")
 def score_summary(spark, sf_dir):
-    s = O.score_summary(_pairs(spark, sf_dir))
+    s = C.piles(_resolved(spark, sf_dir))
     return s.select("same", "n", *[F.round(c, 6).alias(c) for c in ("min", "median", "max")])
 
 
@@ -64,7 +65,7 @@ _BOUNDS = "(SELECT max(CASE WHEN NOT same THEN score END) AS c, min(CASE WHEN sa
 
 @register("a12_suggest_thresholds", V.sql("prints voices truth", "") + ", " + _PAIRS + f" SELECT CASE WHEN f > c THEN round(c + (f - c) * 0.1, 2) END AS low, CASE WHEN f > c THEN round((c + f) / 2, 2) END AS high, NOT coalesce(f > c, FALSE) AS overlap FROM {_BOUNDS}")
 def suggest_thresholds(spark, sf_dir):
-    return O.suggest_thresholds(_pairs(spark, sf_dir))
+    return C.thresholds(_resolved(spark, sf_dir))
 
 
 def _registry(spark, sf_dir):
@@ -468,10 +469,17 @@ def preflight(spark, sf_dir):
 
 @register("w16_pairs_by_score", V.sql("prints voices truth", "") + ", " + _PAIRS + " SELECT left_file, left_label, right_file, right_label, round(score, 6) AS score FROM pairs")
 def pairs_by_score(spark, sf_dir):
-    from speechframe.operators.services import calibration_report
+    from speechframe.operators.services import calibration_pairs
 
-    report = calibration_report(V.voices(spark, sf_dir), V.truth(spark, sf_dir))
-    return report["pairs"].select("left_file", "left_label", "right_file", "right_label", F.round("score", 6).alias("score"))
+    pairs = calibration_pairs(_resolved(spark, sf_dir))
+    return pairs.select("left_file", "left_label", "right_file", "right_label", F.round("score", 6).alias("score"))
+
+
+@register("a20_evidence", V.sql("prints voices truth", "SELECT v.file, v.label, coalesce(a.person, b.person) AS person FROM voices v LEFT JOIN truth a ON a.file = v.file AND a.label = v.label LEFT JOIN truth b ON b.file = v.file AND b.label = '*'"))
+def evidence(spark, sf_dir):
+    from speechframe.operators.services import calibration_evidence
+
+    return calibration_evidence(V.voices(spark, sf_dir).drop("name"), V.truth(spark, sf_dir)).select("file", "label", "person")
 
 
 @register("j11_reusable_transcripts", V.sql("recordings", "SELECT path, CASE WHEN o_totalprice > 100000 THEN 'text ' || r.o_orderkey END AS md FROM recordings r JOIN orders USING (o_orderkey)"))
