@@ -136,13 +136,11 @@ FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op10_license_scan": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 phrase(words, label) AS (VALUES {_values(list(licenses.PHRASES.items()))}),
-template(words, label, stride) AS (VALUES {_values([(text, label, licenses.class_of(text)) for label, text in licenses.TEMPLATES.items()])}),
+template(words, label, step, length) AS (VALUES {_values([(" ".join(licenses.tokens_of(text)), label, *licenses.windows_of(licenses.class_of(text))) for label, text in licenses.TEMPLATES.items()])}),
 place AS (SELECT doc_id, i - 1 AS p, label FROM d, unnest(range(1, len(w) + 1)) t(i), phrase WHERE list_slice(w, i, i + len(words) - 1) = words),
-line AS (SELECT doc_id, {_WORDS} AS w, {licenses.STRIDE} AS stride FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents)
-         UNION ALL SELECT doc_id, w, stride FROM d, (SELECT DISTINCT stride FROM template)),
-block AS (SELECT doc_id, w, stride FROM line WHERE len(w) <= 2 * stride
-          UNION ALL SELECT doc_id, list_slice(w, i, i + 2 * stride - 1), stride FROM line, unnest(range(1, len(w) - stride + 1, stride)) t(i) WHERE len(w) > 2 * stride),
-hit AS (SELECT doc_id, label, len(list_intersect(w, words)) / len(list_distinct(words)) AS score FROM block JOIN template USING (stride)
+block AS (SELECT DISTINCT step, length, doc_id, list_slice(w, k * step + 1, k * step + length) AS w
+          FROM d, (SELECT DISTINCT step, length FROM template), unnest(range(0, greatest(0, ceil((len(w) - length) / step)::BIGINT) + 1)) t(k)),
+hit AS (SELECT doc_id, label, len(list_intersect(w, words)) / len(list_distinct(words)) AS score FROM block JOIN template USING (step, length)
         WHERE len(list_intersect(w, words)) >= ceil(0.9 * len(list_distinct(words)) - 1e-9)),
 base AS (SELECT doc_id, count(*) AS n, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM place GROUP BY doc_id),
 every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM place UNION ALL SELECT doc_id, label FROM hit) GROUP BY doc_id),
