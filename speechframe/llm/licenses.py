@@ -18,7 +18,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechframe.llm.common import WORD, row_key
+from speechframe.llm.common import WORD, row_key, written
 from speechframe.llm.words import words
 
 #: Phrases whose places are counted, with their labels.
@@ -76,10 +76,10 @@ def windows_of(size: int) -> tuple[int, int]:
     return step, size + 2 * step - 1
 
 
-def _corpus_order(split: DataFrame, vocabulary: list[str]) -> list[str]:
-    """The templates' words, rarest in the corpus first, ties by word; split has the documents' words as w."""
-    found = split.select(F.explode(F.filter("w", lambda w: w.isin(vocabulary))).alias("word"))
-    n = {row["word"]: row["count"] for row in found.groupBy("word").count().collect()}  # a row for each template word at most
+def _corpus_order(kept: DataFrame, vocabulary: list[str]) -> list[str]:
+    """The templates' words, rarest in the corpus first, ties by word; kept has the documents' words as ids, places in the vocabulary from 1."""
+    found = kept.select(F.explode(F.filter("ids", lambda i: i > 0)).alias("id"))
+    n = {vocabulary[row["id"] - 1]: row["count"] for row in found.groupBy("id").count().collect()}  # a row for each template word at most
     return sorted(vocabulary, key=lambda w: (n.get(w, 0), w))
 
 
@@ -116,8 +116,15 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     one row; repeated rows each get a row; an empty table stays empty; other columns are ignored.
     """
     phrases, templates = phrases or PHRASES, templates or TEMPLATES
+    vocabulary = sorted({w for text in templates.values() for w in tokens_of(text)})
     split = docs.select("doc_id", row_key().alias("row"), words(F.col("text")).alias("w"))
-    order = _corpus_order(split, sorted({w for text in templates.values() for w in tokens_of(text)}))
+    # words are made once: what is read again is their places in the vocabulary, 0 for others, null where no word is of it
+    ids = F.transform("w", lambda x: F.when(x.isin(vocabulary), F.array_position(F.lit(vocabulary), x).cast("int")).otherwise(0))
+    named = [F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, label in enumerate(phrases.values())]
+    kept = split.select("doc_id", "row", F.size("w").cast("long").alias("n_words"), *[_places(F.col("w"), p).alias(f"p{i}") for i, p in enumerate(phrases)], F.when(F.arrays_overlap("w", F.lit(vocabulary)), ids).alias("ids"))
+    places, base_labels = F.array_sort(F.flatten(F.array(*[f"p{i}" for i in range(len(phrases))]))), F.array_sort(F.array_distinct(F.array_compact(F.array(*named))))
+    kept = written(kept.select("doc_id", "row", "n_words", places.alias("places"), base_labels.alias("base_labels"), "ids"), "license-words")
+    order = _corpus_order(kept, vocabulary)
     rank = {w: i for i, w in enumerate(order)}
     spec = []
     for label, text in sorted(templates.items()):
@@ -127,24 +134,20 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     table = docs.sparkSession.createDataFrame(spec, "token int, size int, template string, at_template int, tokens array<int>, need int")
 
     # a block as the ranks of its template words, rarest first; only windows that hold a prefix token of their class
-    found = F.filter(F.transform("w", lambda x, i: F.when(x.isin(sorted({order[row[0]] for row in spec})), F.struct(i.alias("i"), x.alias("x")))), lambda a: a.isNotNull())
+    ranked = F.transform("ids", lambda i: F.when(i > 0, F.element_at(F.lit([rank[w] for w in vocabulary]), i)).otherwise(-1))
+    anchored = F.filter(F.transform("w", lambda x, i: F.when(x.isin(sorted({row[0] for row in spec})), F.struct(i.alias("i"), x.alias("x")))), lambda a: a.isNotNull())
 
     def blocks(size: int) -> Column:
         mine = [row for row in spec if row[1] == size]
-        prefix, known = sorted({order[row[0]] for row in mine}), sorted({order[r] for row in mine for r in row[4]})
-        anchors = F.transform(F.filter("found", lambda a: a["x"].isin(prefix)), lambda a: a["i"])
-        ranks = lambda b: F.array_sort(F.transform(F.array_distinct(F.filter(b, lambda x: x.isin(known))), lambda x: F.array_position(F.lit(order), x).cast("int") - 1))
+        anchors = F.transform(F.filter("found", lambda a: a["x"].isin(sorted({row[0] for row in mine}))), lambda a: a["i"])
+        tokens = F.lit(sorted({r for row in mine for r in row[4]}))
         # as strings, of which equal ones are found by hash
-        each = F.array_distinct(F.transform(_windows(anchors, F.col("w"), *windows_of(size)), lambda b: F.array_join(ranks(b).cast("array<string>"), ",")))
-        classed = F.transform(each, lambda b: F.struct(F.lit(size).alias("size"), F.split(b, ",").cast("array<int>").alias("block")))
-        return F.when(F.size("found") > 0, classed).otherwise(F.array().cast("array<struct<size:int,block:array<int>>>"))
+        each = F.array_distinct(F.transform(_windows(anchors, F.col("w"), *windows_of(size)), lambda b: F.array_join(F.array_sort(F.array_intersect(b, tokens)).cast("array<string>"), ",")))
+        return F.transform(each, lambda b: F.struct(F.lit(size).alias("size"), F.split(b, ",").cast("array<int>").alias("block")))
 
     held = F.concat(*[blocks(size) for size in sorted({row[1] for row in spec})])
-    named = [F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, label in enumerate(phrases.values())]
-    base = split.withColumn("found", found).select("doc_id", "row", F.size("w").cast("long").alias("n_words"), *[_places(F.col("w"), p).alias(f"p{i}") for i, p in enumerate(phrases)], held.alias("held"))
-    base = base.select(
-        "doc_id", "row", "n_words", F.array_sort(F.flatten(F.array(*[f"p{i}" for i in range(len(phrases))]))).alias("places"), F.array_sort(F.array_distinct(F.array_compact(F.array(*named)))).alias("base_labels"), "held"
-    )
+    none = F.array().cast("array<struct<size:int,block:array<int>>>")
+    base = kept.withColumn("w", ranked).withColumn("found", anchored).select("doc_id", "row", "n_words", "places", "base_labels", F.when(F.size("found") > 0, held).otherwise(none).alias("held"))
     # a first row for the document itself, then one for each token of each of its blocks
     itself = F.array(F.struct(F.lit(0).alias("size"), F.array().cast("array<int>").alias("block")))
     each = base.withColumn("one", F.explode(F.concat(itself, "held"))).drop("held").select("*", "one.*").drop("one")
