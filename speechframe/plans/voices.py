@@ -372,6 +372,16 @@ def typed_leaves(spark, sf_dir):
     return V.table(spark, sf_dir, "events").select("event_id", Y.as_str(v).alias("as_str"), Y.as_number(v).alias("as_number"), Y.as_bool(v).alias("as_bool"), Y.render_param(v).alias("param"))
 
 
+@register("f03_leaves_of_each_type", """SELECT event_id, CASE event_type WHEN 'view' THEN 'true' WHEN 'click' THEN event_type END AS text, CASE event_type WHEN 'view' THEN NULL WHEN 'click' THEN NULL WHEN 'signup' THEN user_id % 2 = 0 END AS flag,
+  CASE event_type WHEN 'purchase' THEN user_id::DOUBLE END AS number FROM events""")
+def leaves_of_each_type(spark, sf_dir):
+    """One leaf that holds the text 'true', a text, a boolean, a number or, for errors, a list."""
+    value = F.when(F.col("event_type") == "view", F.lit('"true"')).when(F.col("event_type") == "click", F.to_json(F.array("event_type")).substr(F.lit(2), F.length("event_type") + 2))
+    value = value.when(F.col("event_type") == "signup", (F.col("user_id") % 2 == 0).cast("string")).when(F.col("event_type") == "purchase", F.col("user_id").cast("string")).otherwise(F.lit("[1]"))
+    v = Y.leaf(F.try_parse_json(F.concat(F.lit('{"k":'), value, F.lit("}"))), "$.k")
+    return V.table(spark, sf_dir, "events").select("event_id", Y.as_str(v).alias("text"), Y.as_bool(v).alias("flag"), Y.as_number(v).alias("number"))
+
+
 @register("f05_drop_numeric_vectors", """SELECT vec_id, '{"k": {"note": "p' || label || '"}, "list": [1, "a"]}' AS doc FROM embeddings""")
 def drop_numeric_vectors(spark, sf_dir):
     doc = F.to_json(F.struct(F.struct(F.col("embedding").alias("vector"), F.concat(F.lit("p"), F.col("label").cast("string")).alias("note")).alias("k")))

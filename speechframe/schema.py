@@ -7,6 +7,8 @@ TURNS = "meeting_id string, turn_idx long, start double, end double, speaker str
 MANIFEST = "stem string, started_at string, samplerate int, parts array<string>, status string, devices map<string,string>, claude_model string, profile string, asr_engine string"
 
 # Defaults that results depend on.
+#: Ends of the files that stand beside an enrolled recording: request, result, mark of a change meanwhile.
+ENROLL_SUFFIXES = (".request.json", ".result.json", ".changed.json")
 CHARS_PER_TOKEN = 1.1
 MERGE_MAX_TOKENS = 600
 CHUNK_MAX_TOKENS = 15000

@@ -5,6 +5,8 @@ Paths go to Spark's readers alone, so that any store works. A missing path reads
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -108,12 +110,19 @@ def load_registry(spark: SparkSession, path: str) -> DataFrame:
     return each.select("id", "name", (F.col("s") * 1_000_000 + F.col("o")).cast("bigint").alias("ord"), F.try_variant_get("v", "$.embedding", "array<double>").alias("embedding"), text("embedding_model"), text("source"), text("added"))
 
 
-def load_pending(spark: SparkSession, directory: str) -> DataFrame:
+def load_pending(spark: SparkSession, directory: str, pattern: str = "*.json") -> DataFrame:
     """path, meeting_dir, audio_file, doc of the naming queues in order of their names; those without speakers or of the wrong shape drop out."""
-    d = json_objects(spark, directory).where("valid").withColumn("speakers", F.try_variant_get("doc", "$.speakers", "array<variant>")).where("size(speakers) > 0")
+    d = json_objects(spark, directory, pattern).where("valid").withColumn("speakers", F.try_variant_get("doc", "$.speakers", "array<variant>")).where("size(speakers) > 0")
     return d.select("path", as_str(leaf(F.col("doc"), "$.meeting_dir")).alias("meeting_dir"), as_str(leaf(F.col("doc"), "$.audio_file")).alias("audio_file"), "speakers", "doc").orderBy("path")
 
 
+def load_pending_of(spark: SparkSession, directory: str, meeting: str) -> DataFrame:
+    """The naming queue of one meeting, its file alone read; none for a name that is no plain file name."""
+    if meeting in ("", ".", "..") or set("/\\") & set(meeting):
+        return load_pending(spark, directory).limit(0)
+    return load_pending(spark, directory, re.sub(r"([*?\[\]{}])", r"\\\1", meeting) + ".json")
+
+
 def load_truth(spark: SparkSession, path: str) -> DataFrame:
     """audio, ord, label, person of a truth file; of a repeated audio the first entry counts, entries of the wrong shape drop out."""
     doc = F.try_parse_json("text")

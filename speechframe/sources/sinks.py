@@ -189,3 +189,14 @@ def move(spark: SparkSession, source: str, target: str) -> bool:
 def delete(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return bool(fs.delete(p, True))
+
+
+def clear_enrolment(spark: SparkSession, directory: str, audio_file: str) -> list[str]:
+    """Deletes what stands beside a recording in the enrolment folder, and gives the names of what was there.
+
+    The recording itself stays. A name that is no plain file name deletes nothing; a second run finds nothing and changes nothing.
+    """
+    if audio_file in ("", ".", "..") or set("/\\") & set(audio_file):
+        return []
+    names = [audio_file + end for end in S.ENROLL_SUFFIXES]
+    return [name for name in names if delete(spark, f"{directory}/{name}")]
