@@ -137,6 +137,12 @@ def test_stats_and_participants(spark):
     assert line.startswith("ผู้เข้าร่วม: 3 เสียง (ระบุตัวได้จากลายเสียง 1 คน)") and "ผู้พูด 2 30.0% (พูดครั้งแรก 08:00)" in line
 
 
+def test_percentages_are_rounded_by_their_exact_value(spark):
+    shares = sorted({a / b for b in (1, 3, 7, 16, 80, 160, 400, 1000, 1999, 2000) for a in range(b + 1)} | {1e-12, 0.8125, 0.0005, 1 - 1e-16})
+    df = spark.createDataFrame([(s,) for s in shares], "share double")
+    assert [r.p for r in df.select(stats._percent(F.col("share")).alias("p")).collect()] == [f"{s * 100:.1f}%" for s in shares]
+
+
 @pytest.mark.parametrize("bytes_held", [voices.REGISTRY_BYTES, 0])
 def test_match_known_ties_thresholds_and_stamps(spark, monkeypatch, bytes_held):
     monkeypatch.setattr(voices, "REGISTRY_BYTES", bytes_held)
