@@ -137,6 +137,28 @@ def test_stats_and_participants(spark):
     assert line.startswith("ผู้เข้าร่วม: 3 เสียง (ระบุตัวได้จากลายเสียง 1 คน)") and "ผู้พูด 2 30.0% (พูดครั้งแรก 08:00)" in line
 
 
+@pytest.mark.parametrize("kind", ["long", "double", "decimal(12,3)"])
+def test_merge_equals_brute_force_and_takes_no_row_a_pair(spark, kind):
+    rng = random.Random(4)
+    a, b = ([(m, i, t := rng.randrange(200), t + rng.randrange(0, 60)) for m in "xy" for i in range(150)] for _ in range(2))
+    times = [F.col(c).cast(kind).alias(c) for c in ("start", "end")]
+    s = spark.createDataFrame(a, "meeting_id string, seq long, start long, end long").select("meeting_id", "seq", *times, F.lit(" t ").alias("text"))
+    t = spark.createDataFrame(b, "meeting_id string, turn_idx long, start long, end long").select("meeting_id", "turn_idx", *times, F.col("turn_idx").cast("string").alias("speaker"))
+    want = {}
+    for m, i, x, y in a:
+        best = max((min(y, q) - max(x, p), -n) for k, n, p, q in b if k == m and q > p)
+        want[m, i] = str(-best[1]) if y > x and best[0] > 0 else "SPEAKER_UNKNOWN"
+    for width in (1, 7, 60):  # groups of 16 widths
+        assert {(r.meeting_id, r.seq): r.speaker for r in I.merge_segments_turns(s, t, width).collect()} == want
+    # all pairs overlap: two hundred million of them
+    s = spark.range(20_000).select(F.lit("m").alias("meeting_id"), F.col("id").alias("seq"), F.lit(0).alias("start"), (F.col("id") % 50 + 1).alias("end"), F.lit("").alias("text"))
+    t = spark.range(10_000).select(F.lit("m").alias("meeting_id"), F.col("id").alias("turn_idx"), F.lit(0).alias("start"), (F.col("id") % 50 + 1).alias("end"), F.col("id").cast("string").alias("speaker"))
+    merged = I.merge_segments_turns(s, t)
+    assert {(r.end, r.speaker) for r in merged.collect()} == {(n + 1, str(n)) for n in range(50)}
+    joined = str(merged._jdf.queryExecution().optimizedPlan())
+    assert joined.count("Join ") == 1 and "Join LeftOuter" in joined  # segments meet turns in groups, not as rows
+
+
 def test_percentages_are_rounded_by_their_exact_value(spark):
     shares = sorted({a / b for b in (1, 3, 7, 16, 80, 160, 400, 1000, 1999, 2000) for a in range(b + 1)} | {1e-12, 0.8125, 0.0005, 1 - 1e-16})
     df = spark.createDataFrame([(s,) for s in shares], "share double")
