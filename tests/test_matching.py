@@ -2,6 +2,7 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 
 from speechframe import schema as S
@@ -110,3 +111,18 @@ def test_time_of_a_text_does_not_grow_with_the_forms(many):
             M.longest_at(shard, text)
         took[n] = time.process_time() - began
     assert took[200_000] < 20 * took[2_000] + 0.5, took  # a hundred times the forms; more hits, slower memory
+
+
+def test_few_rows_of_a_batch_are_python_objects_at_a_time():
+    from speechframe.operators import matching
+
+    most = []
+
+    class Column(list):
+        def slice(self, at, n):
+            most.append(n)
+            return pa.array(list(self)[at : at + n])
+
+    run = matching._mapped(lambda t: [{"wrong": t, "n": 1}], matching._COUNTS).func
+    got = run(Column(str(i) for i in range(1000)))
+    assert [r[0]["wrong"] for r in got.to_pylist()] == [str(i) for i in range(1000)] and max(most) == matching.SLICE_ROWS and len(run(Column())) == 0
