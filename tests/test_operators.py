@@ -159,6 +159,14 @@ def test_merge_equals_brute_force_and_takes_no_row_a_pair(spark, kind):
     assert joined.count("Join ") == 1 and "Join LeftOuter" in joined  # segments meet turns in groups, not as rows
 
 
+def test_a_large_registry_meets_probes_as_blocks(spark, monkeypatch):
+    monkeypatch.setattr(voices, "REGISTRY_BYTES", 0)
+    v = spark.range(40).select(F.col("id").alias("label"), F.col("id").alias("ord"), F.lit("i").alias("speaker_id"), F.lit("n").alias("name"), F.lit("m").alias("embedding_model"), F.array(F.cos("id"), F.sin("id")).alias("embedding"))
+    found = voices.match_known(v.select("label", "embedding", "embedding_model"), v.drop("label"), 0.7, 0.5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and found.where("score > 0.999999").count() == 40
+
+
 def test_percentages_are_rounded_by_their_exact_value(spark):
     shares = sorted({a / b for b in (1, 3, 7, 16, 80, 160, 400, 1000, 1999, 2000) for a in range(b + 1)} | {1e-12, 0.8125, 0.0005, 1 - 1e-16})
     df = spark.createDataFrame([(s,) for s in shares], "share double")
